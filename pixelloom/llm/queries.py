@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL that must agree with them."""
 
-from . import exact_dedup
+from . import exact_dedup, token_output
 
 QUERIES = {
+    "op3_token_ids": token_output.op3_token_ids,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 ORACLE_SQL = {
