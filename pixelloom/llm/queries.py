@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and the SQL that must agree with them."""
 
-from . import exact_dedup, quality, sharding, token_output
+from . import decontaminate, exact_dedup, quality, sharding, token_output
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_ids": token_output.op3_token_ids,
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_quality": quality.op9_quality,
 }
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
