@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL that must agree with them."""
 
-from . import decontaminate, exact_dedup, quality, sharding, token_output
+from . import decontaminate, exact_dedup, quality, sharding, token_output, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_ids": token_output.op3_token_ids,
     "op6_sharding": sharding.op6_sharding,
