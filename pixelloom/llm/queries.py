@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that must agree with them."""
 
-from . import decontaminate, exact_dedup, quality, sharding, token_output, url_filter
+from . import decontaminate, exact_dedup, near_dup, quality, sharding, token_output, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_ids": token_output.op3_token_ids,
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_near_duplicates": near_dup.op8_near_duplicates,
     "op9_quality": quality.op9_quality,
 }
 ORACLE_SQL = {
