@@ -5,14 +5,19 @@
 * Regions. Each node is sent to the regions of its nearest single-shingle pivots. All shingles of a set
   are equally near to it, so ties go by rarity (a table of 2**DF_BITS counters over all documents),
   then by hash. The window that makes the partition exact is the set's prefix: two sets within the
-  threshold share a shingle among their first n - ceil(t * n) + 1.
-* Pivots. In each region one document is the pivot and the others are measured against it, which costs
-  one comparison a row however large the region is. Whoever is within the threshold is linked.
+  threshold share a shingle among their first n - ceil(t * n) + 1. Within a region, sets too different
+  in size for a link are kept apart by classes of sizes; only the same and the next class meet.
+* Pivots. In each class of a region the most central document (that with most copies, then that which
+  shares most) is the pivot and the others are measured against it,
+  which costs one comparison a row however large the region is. Whoever is within the threshold is linked.
 * Recursion. Regions whose members are not of one component yet are searched again with pivots of the
   other components, as long as all remaining pairs would be many.
 * What remains are pairs of different components within a region. Of these the triangle inequality
-  drops those whose distances to the region's pivot differ by more than the threshold; the others are
-  measured.
+  drops those whose distances to the region's pivot differ by more than the threshold. A pair that
+  shares many crowded regions is emitted at the first of them only.
+* Before any two sets are fetched and compared, their coordinates are: how many of a set's shingles lie
+  in each of CELLS fixed parts of the shingle space. Coordinates differ in sum by no more than the sets
+  do, so pairs that differ by more than a link allows are dropped without a comparison.
 
 So every pair of documents in different components has been measured, or is ruled out by a bound, and
 components are exact. Regions of very common shingles are salted by node, each salt with a pivot of
@@ -38,13 +43,19 @@ from .common import batches_of, materialise, table
 from .components import components
 from .words import SPACED, mix, word_hashes
 
-DF_BITS = 20
+DF_BITS = 23
 _SLICES = 64
-#: Documents of a counter from which its shingles' regions are salted, one salt for so many.
+#: A region gets one salt for so many documents that its shingle's counter holds beyond four times the mean.
 SALT_ROWS = 20_000
+#: Nodes whose texts are found by a broadcast of their ids at most; more are found by a sort-merge join.
+FEW_NODES = 200_000
+CELLS = 64
 #: Remaining pairs, as a multiple of the rows in open regions, from which on pivots search again.
-PAIRS_A_ROW = 3
-ROUNDS = 6
+PAIRS_A_ROW = 30
+#: Regions of more rows than this are crowded: their nodes carry the first LISTED crowded regions that they are in.
+CROWD = 32
+LISTED = 32
+ROUNDS = 4
 
 
 def shingle_sets(texts: list[bytes | None], k: int):
@@ -75,30 +86,36 @@ def _digest(shingles: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-_SIGNED = "doc_id long, pid long, tkey long, n int, node long, more long, part int, counts binary"
+def _cells(shingles: np.ndarray) -> bytes:
+    """The set's coordinates, each cut off at 255 (which lowers no difference below zero)."""
+    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+_SIGNED = "doc_id long, pid long, tkey long, n int, node long, more long, cells binary, part int, counts binary"
 
 
 def _sign(batches, k: int, seed: int):
     """A row for each text, and the slices of this task's table of counters."""
     mask, size = np.uint64((1 << DF_BITS) - 1), 1 << DF_BITS
     totals = np.zeros(size, np.uint32)
-    names = ["doc_id", "pid", "tkey", "n", "node", "more", "part", "counts"]
+    names = ["doc_id", "pid", "tkey", "n", "node", "more", "cells", "part", "counts"]
     for whole in batches:
+        places = [np.empty(0, np.int64)]
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             sets = list(shingle_sets(batches_of(batch, "text"), k))
-            everything = np.concatenate(sets)
-            totals += np.bincount((everything & mask).astype(np.int64), minlength=size).astype(np.uint32)
+            places.append((np.concatenate(sets) & mask).astype(np.int64))
             ids = [_digest(s, seed) for s in sets]
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([_cells(x) for x in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names,
             )
+        totals += np.bincount(np.concatenate(places), minlength=size).astype(np.uint32)
     if totals.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in totals.reshape(_SLICES, -1)]
         none = pa.nulls(_SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.int32()), none, none, pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.int32()), none, none, pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _add_counts(batches):
@@ -124,7 +141,7 @@ def _frequencies(signed: DataFrame) -> np.ndarray:
 def _prefixes(batches, k: int, seed: int, num: int, den: int, counters):
     """(shingle, salt, node, n) of the prefix of each set, once for each node of a task."""
     df = counters.value
-    mask = np.uint64((1 << DF_BITS) - 1)
+    mask, usual = np.uint64((1 << DF_BITS) - 1), 4 * int(df.mean())
     seen: set[int] = set()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
@@ -141,37 +158,45 @@ def _prefixes(batches, k: int, seed: int, num: int, den: int, counters):
                 n = len(s)
                 count = df[(s & mask).astype(np.int64)]
                 pick = np.lexsort((s, count))[: n + (-num * n // den) + 1]
-                groups = -(-count[pick].astype(np.int64) // SALT_ROWS)
+                groups = -(-np.maximum(count[pick].astype(np.int64) - usual, 0) // SALT_ROWS)
                 keys.append(s[pick])
                 salts.append(np.where(groups > 1, (node & 0x7FFFFFFF) % np.maximum(groups, 1), -1))
                 nodes.append(np.full(len(pick), node, np.int64))
                 sizes.append(np.full(len(pick), n, np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
-                    ["shingle", "salt", "node", "n"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes))],
+                    ["shingle", "salt", "n", "node"],
                 )
 
 
-_REGIONS = "shingle long, node long, n int, pivot long, pivot_n int"
+_REGIONS = "shingle long, class int, node long, n int"
+
 
+def size_class(n, num: int, den: int):
+    """Sets that may be linked lie in the same class or in neighbouring ones."""
+    return np.floor(np.log(n) / (np.log(den / num) * (1 + 1e-9))).astype(np.int32)
 
-def _whole_regions(cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of whole regions, sorted -> those of two nodes or more (or salted), with the first node as pivot."""
-    key, salt, node, n = cols
+
+def _whole_regions(cols: list[np.ndarray], num: int, den: int) -> pa.RecordBatch:
+    """Rows of whole regions, sorted by shingle, salt, size and node -> those that may have a partner (or are
+    salted)."""
+    key, salt, n, node = cols
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     once = new.copy()
     once[1:] |= node[1:] != node[:-1]
-    key, salt, node, n, new = (x[once] for x in (key, salt, node, n, new))
-    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    keep = (np.bincount(group, minlength=len(first))[group] > 1) | (salt >= 0)
-    lead = first[group[keep]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], node[keep], n[keep], node[lead], n[lead])], ["shingle", "node", "n", "pivot", "pivot_n"])
+    key, salt, n, node, new = (x[once] for x in (key, salt, n, node, new))
+    cut = new.copy()  # sizes on either side of a cut are too far apart for a link
+    cut[1:] |= num * n[1:].astype(np.int64) > den * n[:-1].astype(np.int64)
+    chain = np.cumsum(cut) - 1
+    keep = (np.bincount(chain)[chain] > 1) | (salt >= 0)
+    classes = size_class(n[keep], num, den)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], classes, node[keep], n[keep])], ["shingle", "class", "node", "n"])
 
 
-def _regions(batches):
-    """Streams rows sorted by shingle, salt and node; the last region of a batch, which salting bounds, waits for the next."""
+def _regions(batches, num: int, den: int):
+    """Streams sorted rows; the last region of a batch, which salting bounds, waits for the next."""
     held = None
     for batch in batches:
         cols = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(4)]
@@ -180,10 +205,22 @@ def _regions(batches):
         if len(cols[0]):
             start = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
             if start:
-                yield _whole_regions([c[:start] for c in cols])
+                yield _whole_regions([c[:start] for c in cols], num, den)
             held = [c[start:] for c in cols]
     if held is not None:
-        yield _whole_regions(held)
+        yield _whole_regions(held, num, den)
+
+
+def _bounds(batches, num: int, den: int):
+    """Pairs with sizes and coordinates -> the least distance that these allow, and whether a link is possible."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (4, 5))
+        gap = np.abs(x - y).sum(axis=1).astype(np.int64)
+        total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        near = gap * (den + num) <= total * (den - num)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(2 * gap / (total + gap)), pa.array(near)], ["a", "b", "low", "near"])
 
 
 def _sets(batches, k: int):
@@ -222,9 +259,9 @@ class JaccardJoin:
         """Signs every text; a second time with another seed, should two sets share a 64-bit node."""
         while True:
             self.signed = materialise(self.texts.mapInArrow(partial(_sign, k=self.k, seed=self.seed), _SIGNED), "signed")
-            self.rows = self.signed.filter("part IS NULL").select("doc_id", "pid", "tkey", "n", "node", "more")
+            self.rows = self.signed.filter("part IS NULL").select("doc_id", "pid", "tkey", "n", "node", "more", "cells")
             nodes = self.rows.filter("n > 0").groupBy("node").agg(
-                F.min(F.struct("pid", "tkey")).alias("place"), F.min("doc_id").alias("first_id"), F.min("more").alias("low"), F.max("more").alias("high")
+                F.min(F.struct("pid", "tkey")).alias("place"), F.min("doc_id").alias("first_id"), F.min("more").alias("low"), F.max("more").alias("high"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count(F.lit(1)).alias("copies")
             )
             self.nodes = materialise(nodes, "nodes")
             if self.nodes.filter("low != high").isEmpty():
@@ -234,24 +271,43 @@ class JaccardJoin:
     def regions(self) -> DataFrame:
         counters = self.spark.sparkContext.broadcast(_frequencies(self.signed))
         rows = self.texts.select("text").mapInArrow(
-            partial(_prefixes, k=self.k, seed=self.seed, num=self.num, den=self.den, counters=counters), "shingle long, salt int, node long, n int"
+            partial(_prefixes, k=self.k, seed=self.seed, num=self.num, den=self.den, counters=counters), "shingle long, salt int, n int, node long"
         )
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
-        return materialise(dealt.mapInArrow(_regions, _REGIONS), "regions")
-
-    def store(self, regions: DataFrame) -> DataFrame:
-        """The sets of the nodes that share a region with another."""
-        asked = regions.select("node").distinct().join(self.nodes.select("node", "place.pid", "place.tkey"), "node")
-        rows = self.texts.select("pid", "tkey", "text").join(asked.hint("merge"), ["pid", "tkey"]).select("node", "text")
-        return materialise(rows.mapInArrow(partial(_sets, k=self.k), "node long, shingles binary"), "sets")
+        dealt = rows.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
+        found = materialise(dealt.mapInArrow(partial(_regions, num=self.num, den=self.den), _REGIONS), "shared")
+        # how central a node is: texts that copies are made of have the most copies and share the most
+        central = found.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(self.nodes.select("node", "copies").hint("merge"), "node")
+        return materialise(found.join(central.hint("merge"), "node"), "regions")
+
+    @staticmethod
+    def pivots(rows: DataFrame, *more: str) -> DataFrame:
+        """The most central node p of each class of each region."""
+        return rows.groupBy("shingle", "class").agg(F.max(F.struct("copies", "shares", "node", "n", *more)).alias("p"))
+
+    def fetch(self, pairs: DataFrame, label: str) -> DataFrame:
+        """(node, shingles) of the nodes of pairs."""
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = materialise(asked.join(self.nodes.select("node", "place.pid", "place.tkey").hint("merge"), "node"), f"asked-{label}")
+        asked = F.broadcast(asked) if asked.count() <= FEW_NODES else asked.hint("merge")
+        rows = self.texts.select("pid", "tkey", "text").join(asked, ["pid", "tkey"]).select("node", "text")
+        return materialise(rows.mapInArrow(partial(_sets, k=self.k), "node long, shingles binary"), f"sets-{label}")
 
     def measure(self, pairs: DataFrame, label: str) -> DataFrame:
-        """(a, b, na, nb, shared) of the distinct pairs (a, b)."""
-        left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-        return materialise(both.mapInArrow(_measure, "a long, b long, na int, nb int, shared int"), label).dropDuplicates(["a", "b"])
+        """(a, b, low, high, linked) of the distinct pairs (a, b): bounds of their distance, which are the distance
+        itself for the pairs whose coordinates allow a link, and whether they are linked."""
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")).hint("merge") for x in "ab")
+        every = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb")
+        every = materialise(every.mapInArrow(partial(_bounds, num=self.num, den=self.den), "a long, b long, low double, near boolean"), f"near-{label}")
+        near = every.filter("near").select("a", "b")
+        sets = self.fetch(near, label)
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        exact = both.mapInArrow(_measure, "a long, b long, na int, nb int, shared int").dropDuplicates(["a", "b"])
+        d = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+        exact = exact.select("a", "b", d.alias("low"), d.alias("high"), self.linked("na", "nb", "shared").alias("linked"))
+        far = every.filter("NOT near").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+        return materialise(exact.unionByName(far), label)
 
     def fitting(self, a: str, b: str):
         """Sets whose sizes alone do not rule a link out."""
@@ -262,44 +318,58 @@ class JaccardJoin:
         regions = self.regions()
         if regions.isEmpty():
             return None
-        self.sets = self.store(regions)
+        regions = materialise(regions.join(self.pivots(regions).select("shingle", "class", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")).hint("merge"), ["shingle", "class"]), "pivoted")
         stars = regions.filter("node != pivot").filter(self.fitting("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         distances = self.measure(stars, "stars0")
-        links = distances.filter(self.linked("na", "nb", "shared")).select("a", "b")
+        links = distances.filter("linked").select("a", "b")
         open_rows = None
         for i in range(1, ROUNDS + 1):
             labels = components(links)
             rows = regions if open_rows is None else open_rows
             rows = rows.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            by = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("m"))
-            spread = by.groupBy("shingle").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("m", "label")).alias("main"))
-            spread = materialise(spread.filter("labels > 1"), f"spread{i}")
-            open_rows = materialise(rows.join(spread.select("shingle", "main").hint("merge"), "shingle"), f"open{i}").drop("main")
-            sums = spread.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-            if not sums["rows"]:
+            by = rows.groupBy("shingle", "class", "label").agg(F.count(F.lit(1)).alias("m"))
+            whole = by.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("shingle")
+            rows = rows.join(whole.hint("merge"), "shingle")
+            spread = by.groupBy("shingle", "class").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main"))
+            open_rows = materialise(rows, f"open{i}")
+            sums = spread.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
+            many = open_rows.count()
+            if not many:
                 return links
-            if sums["pairs"] <= PAIRS_A_ROW * sums["rows"] or i == ROUNDS:
+            if sums["pairs"] <= PAIRS_A_ROW * many or i == ROUNDS:
                 break
-            # the next pivot of a region: a member, drawn anew, of other components than its largest
-            drawn = open_rows.join(spread.select("shingle", "main").hint("merge"), "shingle").filter("label != main")
-            pivots = drawn.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "label"), F.struct(F.xxhash64("node", F.lit(i)), "node")).alias("p"))
-            stars = open_rows.join(pivots.hint("merge"), "shingle").filter("label != p.label").filter(self.fitting("n", "p.n"))
+            spread = materialise(spread.filter("labels > 1"), f"spread{i}")
+            # the next pivot of a class: the most central of the components other than its largest
+            others = open_rows.join(spread.select("shingle", "class", "main").hint("merge"), ["shingle", "class"]).filter("label != main")
+            pivots = self.pivots(others, "label")
+            stars = open_rows.join(pivots.hint("merge"), ["shingle", "class"]).filter("label != p.label").filter(self.fitting("n", "p.n"))
             more = self.measure(stars.select(F.col("node").alias("a"), F.col("p.node").alias("b")), f"stars{i}")
-            links = materialise(links.unionByName(more.filter(self.linked("na", "nb", "shared")).select("a", "b")).distinct(), f"links{i}")
+            links = materialise(links.unionByName(more.filter("linked").select("a", "b")).distinct(), f"links{i}")
         rest = self.measure(self.remaining(open_rows, distances), "rest")
-        return materialise(links.unionByName(rest.filter(self.linked("na", "nb", "shared")).select("a", "b")), "links")
+        return materialise(links.unionByName(rest.filter("linked").select("a", "b")), "links")
 
     def remaining(self, rows: DataFrame, distances: DataFrame) -> DataFrame:
         """Pairs of different components in a region that neither sizes nor the triangle inequality rule out."""
-        known = distances.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-        rows = rows.join(known.hint("merge"), ["node", "pivot"], "left").withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-        rows = materialise(rows.select("shingle", "node", "n", "label", "pivot", "d"), "measured")
-        x, y = rows.alias("x"), rows.alias("y")
+        known = distances.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "low", "high")
+        rows = rows.join(known.hint("merge"), ["node", "pivot"], "left")
+        own = F.col("node") == F.col("pivot")
+        low, high = F.when(own, F.lit(0.0)).otherwise(F.coalesce("low", F.lit(0.0))), F.when(own, F.lit(0.0)).otherwise(F.coalesce("high", F.lit(1.0)))
+        rows = materialise(rows.select("shingle", "class", "node", "n", "label", "pivot", low.alias("low"), high.alias("high")), "measured")
+        # pairs of crowded regions share many of them and are emitted at the first that both list
+        crowded = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD).select("shingle", F.lit(True).alias("crowded"))
+        rows = rows.join(crowded.hint("merge"), "shingle", "left")
+        lists = rows.filter("crowded").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, LISTED).alias("ids"))
+        rows = rows.join(lists.hint("merge"), "node", "left").withColumn("ids", F.when(F.col("crowded"), F.col("ids"))).drop("crowded")
+        rows = materialise(rows, "listed")
+        first = F.coalesce(F.array_min(F.array_intersect("x.ids", "y.ids")), F.col("x.shingle"))
+        x, y = rows.alias("x"), rows.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") - 1))).alias("y")
         reach = 1 - self.num / self.den + 1e-9
-        apart = (F.col("x.pivot") == F.col("y.pivot")) & (F.abs(F.col("x.d") - F.col("y.d")) > reach)
-        pairs = x.hint("merge").join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-        pairs = pairs.filter(self.fitting("x.n", "y.n")).filter(~F.coalesce(apart, F.lit(False)))
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        apart = (F.col("x.pivot") == F.col("y.pivot")) & ((F.col("x.low") - F.col("y.high") > reach) | (F.col("y.low") - F.col("x.high") > reach))
+        below = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+        pairs = x.hint("merge").join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") == F.col("y.meets")) & below & (F.col("x.label") != F.col("y.label")))
+        pairs = pairs.filter(first >= F.col("x.shingle"))
+        pairs = pairs.filter(self.fitting("x.n", "y.n")).filter(~apart)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         done = distances.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
 

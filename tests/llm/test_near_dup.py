@@ -62,6 +62,8 @@ def corpus(seed, groups, size):
 @pytest.mark.parametrize(("k", "num", "den", "pairs"), [(4, 85, 100, 3), (5, 80, 100, 3), (4, 85, 100, 0)])
 def test_against_brute_force(spark, monkeypatch, k, num, den, pairs):
     monkeypatch.setattr(near_dup, "PAIRS_A_ROW", pairs)
+    monkeypatch.setattr(near_dup, "CROWD", 2)
+    monkeypatch.setattr(near_dup, "LISTED", 5)
     rows = corpus(k + pairs, 30, 25)
     assert run(spark, rows, k, num, den) == brute(rows, k, num, den)
 
@@ -69,7 +71,7 @@ def test_against_brute_force(spark, monkeypatch, k, num, den, pairs):
 def test_salted_regions(spark, monkeypatch):
     """Counters that look large salt every region."""
     real = near_dup._frequencies
-    monkeypatch.setattr(near_dup, "_frequencies", lambda s: real(s) + np.uint32(3 * near_dup.SALT_ROWS))
+    monkeypatch.setattr(near_dup, "_frequencies", lambda s: real(s) * np.uint32(3 * near_dup.SALT_ROWS))
     rows = corpus(11, 12, 20)
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
 
