@@ -22,6 +22,22 @@ MAGIC = b"S8B1"
 HEAD = struct.Struct("<4sIQQQQQ")
 
 
+def _by_steps(values: np.ndarray) -> np.ndarray:
+    width = np.zeros(len(values), np.uint8)
+    steps = sorted({0, *(b for _, b in PACKED.values())})
+    for bits, wider in zip(steps, [*steps[1:], 64], strict=True):
+        width[values >= np.uint64(1 << bits)] = wider
+    return width
+
+
+_SMALL = _by_steps(np.arange(1 << 16, dtype=np.uint64))
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The bits of the narrowest selector that takes each value; 64 for those that need an escape."""
+    return _SMALL[values] if int(values.max()) < len(_SMALL) else _by_steps(values)
+
+
 def _choose(width: np.ndarray) -> np.ndarray:
     """For each position, the densest selector whose count of values from there on fits."""
     n = len(width)
@@ -55,10 +71,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if full < blocks:
         padded[full, : n - full * BLOCK] = ids[full * BLOCK :]
     flat = padded.reshape(-1)
-    width = np.zeros(len(flat), np.uint8)
-    for bits in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        width[flat >= np.uint64(1 << bits)] = min((b for _, b in PACKED.values() if b > bits), default=64)
-    chosen = _choose(width)
+    chosen = _choose(_widths(flat))
     step = np.ones(16, np.int64)
     for s, (count, _) in PACKED.items():
         step[s] = count

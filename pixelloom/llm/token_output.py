@@ -24,7 +24,7 @@ from .common import scratch, table
 from .tokens import encoder
 
 #: Ids in a segment at least, but for a part's last one.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 21
 SEGMENTS = "part int, seq int, start_in_part long, n_docs long, n_ids long, payload binary"
 ROWS = "doc_id long, start_in_part long, n_tokens long, ids_crc32 long"
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts, with a bounded memory of words already encoded.
 
 A pre-token never spans white space in the tokenizers used here, so a text's ids are those of its
-white-space separated words one after the other. Words are remembered; a missed word that ends in one
+white-space separated words one after the other. Where the tokenizer lower-cases, ASCII texts are lower-cased
+first, which leaves fewer words. Words are remembered; a missed word that ends in one
 ASCII comma or full stop after an ASCII letter is looked up without it. A run of letters ends with an end-of-word id where the model has a suffix for that. Texts that hold separators on
 which Python and the tokenizer disagree (U+001C to U+001F) are encoded as a whole.
 """
@@ -41,6 +42,8 @@ class Encoder:
         if suffix:  # then the last id of every run of letters is known by its token
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        probe = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Quick", "quick")]
+        self.lowers = probe[0] == probe[1]
         self.memory: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -85,7 +88,8 @@ class Encoder:
             if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
                 whole[k] = self._whole(t)
                 t = ""
-            words = t.split()
+            # lower case is the tokenizers' own first step; only a special token's text must keep its case
+            words = (t.lower() if self.lowers and t.isascii() and "<|" not in t else t).split()
             ids = list(map(memory.get, words))
             if None in ids:
                 missing.update(w for w, i in zip(words, ids, strict=True) if i is None)
@@ -102,7 +106,7 @@ class Encoder:
         for w in missing:
             if len(w) > 1 and w[-1] in ".," and "a" <= w[-2].lower() <= "z":
                 core = w[:-1]
-                if core.isascii():
+                if self.lowers and core.isascii():
                     core = core.lower()
                 parts[w] = (core, w[-1])
                 need.update(parts[w])
