@@ -52,7 +52,8 @@ class DigestIndex:
         text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"))
         rows = materialise(rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "digests")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+        # written before the anti-join, which Catalyst would else push below the aggregate, to the unreduced rows
+        groups = materialise(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
         known = self.table().select("digest")
         fresh = materialise(groups.join(known.hint("merge"), "digest", "left_anti"), "fresh")
         self._append(fresh)
