@@ -110,8 +110,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "first", "last")
     shared = found.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("mark")
     joined = found.join(shared.hint("merge"), "mark", "left_semi")
-    earliest = joined.groupBy("mark", "content").agg(F.min(place).alias("src"), F.max(place).alias("end")).filter("src != end").select("mark", "content", "src")
-    again = found.join(earliest.hint("merge"), ["mark", "content"]).filter(~place.eqNullSafe(F.col("src")))
+    # by content alone (which implies the mark), so that rows are reduced before they are dealt again
+    earliest = joined.groupBy("content").agg(F.min(place).alias("src"), F.max(place).alias("end")).filter("src != end").select("content", "src")
+    again = found.join(earliest.hint("merge"), "content").filter(~place.eqNullSafe(F.col("src")))
     # a match that overlaps its own first copy takes only what lies behind that
     same = F.col("doc_id").eqNullSafe(F.col("src.doc_id")) & (F.col("tkey") == F.col("src.tkey"))
     first = F.when(same, F.greatest("first", F.col("src.last") + 1)).otherwise(F.col("first"))
