@@ -100,18 +100,17 @@ def _sign(batches, k: int, seed: int):
     totals = np.zeros(size, np.uint32)
     names = ["doc_id", "pid", "tkey", "n", "node", "more", "cells", "part", "counts"]
     for whole in batches:
-        places = [np.empty(0, np.int64)]
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             sets = list(shingle_sets(batches_of(batch, "text"), k))
-            places.append((np.concatenate(sets) & mask).astype(np.int64))
+            places, times = np.unique(np.concatenate(sets) & mask, return_counts=True)
+            totals[places.astype(np.int64)] += times.astype(np.uint32)
             ids = [_digest(s, seed) for s in sets]
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([_cells(x) for x in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names,
             )
-        totals += np.bincount(np.concatenate(places), minlength=size).astype(np.uint32)
     if totals.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in totals.reshape(_SLICES, -1)]
         none = pa.nulls(_SLICES, pa.int64())

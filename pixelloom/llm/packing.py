@@ -78,6 +78,7 @@ def _count(batches, tokenizer: str):
             batch = whole.slice(at, 256)
             n = [len(ids) // 4 + 1 for ids in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+    enc.forget()
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

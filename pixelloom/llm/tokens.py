@@ -101,6 +101,10 @@ class Encoder:
             out[k] = ids
         return out
 
+    def forget(self) -> None:
+        """Gives the memory back, for the tasks of other operators that the worker runs next."""
+        self.memory = {}
+
     def _learn_parts(self, missing: set[str]) -> None:
         memory, parts, need = self.memory, {}, set()
         for w in missing:
