@@ -47,3 +47,14 @@ def batches_of(batch, column: str):
     import pyarrow as pa
 
     return batch.column(column).cast(pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary()).to_pylist()
+
+
+def release() -> None:
+    """Gives freed memory of this Python worker back to the system, for workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialise, table
+from .common import batches_of, materialise, release, table
 from .components import components
 from .words import SPACED, mix, word_hashes
 
-DF_BITS = 23
+DF_BITS = 22
 _SLICES = 64
 #: A region gets one salt for so many documents that its shingle's counter holds beyond four times the mean.
 SALT_ROWS = 20_000
@@ -117,6 +117,10 @@ def _sign(batches, k: int, seed: int):
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(_SLICES, pa.int32()), none, none, pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
+    del totals
+    release()
+
+
 def _add_counts(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:

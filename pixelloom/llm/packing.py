@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .tokens import encoder
+from .tokens import encoder, forget
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP = 50_000
@@ -78,7 +78,8 @@ def _count(batches, tokenizer: str):
             batch = whole.slice(at, 256)
             n = [len(ids) // 4 + 1 for ids in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
-    enc.forget()
+    del enc
+    forget()
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

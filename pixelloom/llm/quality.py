@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import batches_of, release, table
 
 #: Labelled rows that training may see at most.
 SAMPLE = 20_000
@@ -216,9 +216,12 @@ def _gather(batches):
 
 
 def _score(batches, model: Model):
-    for batch in batches:
-        scores = model.score(_matrix(batches_of(batch, "text")))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            scores = model.score(_matrix(batches_of(batch, "text")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+    release()
 
 
 def held_out(doc_id) -> F.Column:

@@ -13,6 +13,8 @@ import os
 
 import numpy as np
 
+from .common import release
+
 #: Words remembered at most; beyond it the memory starts anew.
 MEMORY = 1_000_000
 _ENCODERS: dict = {}
@@ -25,6 +27,12 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
+def forget() -> None:
+    """Drops the encoders of this worker, for the tasks of other operators that it runs next."""
+    _ENCODERS.clear()
+    release()
+
+
 class Encoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,10 +109,6 @@ class Encoder:
             out[k] = ids
         return out
 
-    def forget(self) -> None:
-        """Gives the memory back, for the tasks of other operators that the worker runs next."""
-        self.memory = {}
-
     def _learn_parts(self, missing: set[str]) -> None:
         memory, parts, need = self.memory, {}, set()
         for w in missing:

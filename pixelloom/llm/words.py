@@ -11,7 +11,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at a time; longer texts are cut between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
