@@ -3,9 +3,11 @@
 Templates and texts are read as words (lower-cased A-Z, digits and characters beyond ASCII). Of every WINDOW
 consecutive hashes of GRAM words the smallest is a fingerprint, so any run of GRAM + WINDOW - 1 words that a
 text shares with a template shares a fingerprint. An inverted index leads from fingerprints to places in
-templates. The hits of a template in a text gather by diagonals (place in the text less place in the
+templates. Templates of fewer words than that, which winnowing cannot guarantee, are found by the hash of
+all their words at every place of a text, and must match whole. The hits of a longer template in a text gather by diagonals (place in the text less place in the
 template); each gathering, widened by BAND words, is aligned locally (a match 1, a mismatch or a skipped
 word -1). Alignments that match at least COVERAGE of the template's words and MIN_WORDS words are reported.
+A template without words matches nothing.
 
 Templates are given by the caller and are sent to every task; texts stay where they are read. Null and
 empty texts match nothing; null doc_ids stay null; repeated rows are reported each on its own. Empty
@@ -37,11 +39,11 @@ MATCHES = "doc_id long, license string, coverage double, matched int, first_word
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    n = max(0, len(words) - GRAM + 1)
+def gram_hashes(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    n = max(0, len(words) - size + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(GRAM):
+        for j in range(size):
             out = out * np.uint64(0xFF51AFD7ED558CCD) + words[j : j + n]
         return mix(out)
 
@@ -57,7 +59,7 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 
 
 class TemplateIndex:
-    """Words of the templates, and an inverted index of their fingerprints."""
+    """Words of the templates, an inverted index of their fingerprints, and the hashes of short ones by their length."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -65,7 +67,12 @@ class TemplateIndex:
         if sum(map(len, self.words)) > TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {TEMPLATE_WORDS} words are scanned in several calls")
         marks, owners, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        whole: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
+            if len(words) < GRAM + WINDOW - 1:
+                if len(words):
+                    whole.setdefault(len(words), []).append((int(gram_hashes(words, len(words))[0]), t))
+                continue
             hashes = gram_hashes(words)
             at = winnow(hashes)
             marks.append(hashes[at])
@@ -74,12 +81,34 @@ class TemplateIndex:
         marks, owners, places = map(np.concatenate, (marks, owners, places))
         order = np.argsort(marks, kind="stable")
         self.marks, self.owners, self.places = marks[order], owners[order], places[order]
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes are fingerprints of a template."""
-        if not len(self.marks):
-            return np.zeros(len(hashes), bool)
-        return self.marks[np.minimum(np.searchsorted(self.marks, hashes), len(self.marks) - 1)] == hashes
+        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [t for _, t in sorted(x)]) for n, x in whole.items()}
+
+    def known(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which of the texts that follow each other in `words` hold a fingerprint or a short template."""
+        ends = np.cumsum(counts)
+        out = np.zeros(len(counts), bool)
+        for size, marks in [(GRAM, self.marks), *((n, x[0]) for n, x in self.short.items())]:
+            hashes = gram_hashes(words, size)
+            if not len(marks) or not len(hashes):
+                continue
+            found = marks[np.minimum(np.searchsorted(marks, hashes), len(marks) - 1)] == hashes
+            sums = np.concatenate([[0], np.cumsum(found)])
+            limit = np.maximum(ends - size + 1, ends - counts)
+            out |= sums[np.minimum(limit, len(found))] > sums[np.minimum(ends - counts, len(found))]
+        return out
+
+    def whole(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(template, first word) of the short templates in a text; copies of one do not overlap."""
+        out = []
+        for n, (marks, owners) in self.short.items():
+            hashes = gram_hashes(words, n)
+            for mark, t in zip(marks, owners, strict=True):
+                free = 0
+                for p in np.flatnonzero(hashes == mark).tolist():
+                    if p >= free:
+                        out.append((t, p))
+                        free = p + n
+        return out
 
     def hits(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, template, place in the template) of the fingerprints at those places."""
@@ -123,7 +152,7 @@ def scan_text(words: np.ndarray, index: TemplateIndex) -> list[tuple[int, int, i
     """(template, matched words, first and last word) of each template found."""
     hashes = gram_hashes(words)
     place, owner, there = index.hits(hashes, winnow(hashes))
-    out = []
+    out = [(t, len(index.words[t]), p, p + len(index.words[t]) - 1) for t, p in index.whole(words)]
     for t in np.unique(owner).tolist():
         diagonals = np.unique((place - there)[owner == t])
         for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > BAND) + 1):
@@ -143,12 +172,8 @@ def _scan(batches, index: TemplateIndex):
             raws = batches_of(batch, "text")
             words, counts = word_hashes(raws, ALNUM)
             ends = np.cumsum(counts)
-            # one look for all texts of the batch: which hold any fingerprint of a template
-            known = index.known(gram_hashes(words))
-            sums = np.concatenate([[0], np.cumsum(known)])
-            limit = np.maximum(ends - GRAM + 1, ends - counts)
             rows: list[list] = [[] for _ in range(8)]
-            for k in np.flatnonzero(sums[np.minimum(limit, len(known))] > sums[np.minimum(ends - counts, len(known))]).tolist():
+            for k in np.flatnonzero(index.known(words, counts)).tolist():  # one look for all texts of the batch
                 found = scan_text(words[ends[k] - counts[k] : ends[k]], index)
                 if not found:
                     continue

@@ -8,6 +8,7 @@ TEMPLATES = {
     "notice-cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "notice-cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "notice-cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "notice-all-rights-reserved": "All rights reserved.",
     "notice-all-rights": "All rights reserved. No part of this publication may be reproduced.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without

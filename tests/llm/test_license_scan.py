@@ -82,3 +82,12 @@ def test_edges(spark):
     got = scan(spark, rows)
     assert sorted(str(r.doc_id) for r in got if r.license == "notice-mit") == ["3", "3", "4", "None"]
     assert scan(spark, []) == [] and scan(spark, rows, {}) == []
+
+
+def test_templates_too_short_for_winnowing(spark):
+    short = {"one": "Freeware", "two": "Public domain.", "three": "All rights reserved.", "four": "Not for commercial use"}
+    rows = [(10 * k + n, f"{'before ' * n}{t}{' after' * n}") for k, t in enumerate(short.values()) for n in range(8)]
+    got = scan(spark, rows, short)
+    assert sorted((r.doc_id, r.license, r.coverage, r.first_word) for r in got) == sorted((10 * k + n, name, 1.0, n) for k, name in enumerate(short) for n in range(8))
+    got = scan(spark, [(1, "x\nAll rights reserved.\nAll Rights Reserved\ny"), (2, "all rights are reserved"), (3, "reserved all rights")])
+    assert sorted((r.doc_id, r.license, r.first_word) for r in got) == [(1, "notice-all-rights-reserved", 1), (1, "notice-all-rights-reserved", 4)]
