@@ -91,3 +91,39 @@ def test_templates_too_short_for_winnowing(spark):
     assert sorted((r.doc_id, r.license, r.coverage, r.first_word) for r in got) == sorted((10 * k + n, name, 1.0, n) for k, name in enumerate(short) for n in range(8))
     got = scan(spark, [(1, "x\nAll rights reserved.\nAll Rights Reserved\ny"), (2, "all rights are reserved"), (3, "reserved all rights")])
     assert sorted((r.doc_id, r.license, r.first_word) for r in got) == [(1, "notice-all-rights-reserved", 1), (1, "notice-all-rights-reserved", 4)]
+
+
+def test_long_insertions_and_omissions_keep_the_license(spark):
+    mit = TEMPLATES["mit"].split()
+    clause = "to deal in the Software without restriction, including without limitation the rights to use, copy,".split()
+    at = next(k for k in range(len(mit)) if mit[k : k + len(clause)] == clause)
+    rows = [
+        (1, " ".join(mit[:80] + [f"inserted{k}" for k in range(60)] + mit[80:])),
+        (2, " ".join(mit[:at] + mit[at + len(clause) :])),
+        (3, " ".join(mit[:50] + ["x"] * 12 + mit[50:110] + ["y"] * 300 + mit[110:])),
+        (4, " ".join(mit[80:] + ["z"] * 30 + mit[:80])),
+        (5, " ".join(mit[:80])),
+    ]
+    got = {r.doc_id: r for r in scan(spark, rows, {"mit": TEMPLATES["mit"]})}
+    assert sorted(got) == [1, 2, 3]
+    n = len(ls._WORD.findall(TEMPLATES["mit"].encode()))
+    assert got[1].matched == n and len(got[1].spans) == 2 and got[3].matched == n and len(got[3].spans) == 3
+    assert got[2].matched == n - len(clause) and got[1].last_word == n + 59 and got[3].last_word == n + 311
+    for r in got.values():
+        assert (r.first_word, r.last_word) == (r.spans[0].first_word, r.spans[-1].last_word)
+        text = dict(rows)[r.doc_id].encode()
+        held = [text[s.start_byte : s.end_byte].decode() for s in r.spans]
+        assert not any("inserted" in x or " x " in x or " y " in x for x in held)
+
+
+def test_adjacent_copies_are_all_returned(spark):
+    notes = {k: v for k, v in TEMPLATES.items() if k in ("notice-mit", "notice-cc-by-nc-4.0", "notice-apache-2.0")}
+    rows = [(k, f"a\n{(v + chr(10)) * 7}b") for k, v in enumerate(notes.values())]
+    edited = "Licensed under CC BY-NC 4.1.\n"
+    rows += [(10, edited * 5), (11, ("Licensed under the Apache License, Version 3.0.\n" + notes["notice-apache-2.0"] + "\n") * 4)]
+    got = scan(spark, rows, notes)
+    for k, (name, v) in enumerate(notes.items()):
+        size = len(ls._WORD.findall(v.encode()))
+        assert sorted((r.license, r.first_word, r.coverage) for r in got if r.doc_id == k) == [(name, 1 + size * j, 1.0) for j in range(7)]
+    assert sorted((r.first_word, r.matched) for r in got if r.doc_id == 10) == [(7 * j, 6) for j in range(5)]
+    assert sorted((r.first_word, r.matched) for r in got if r.doc_id == 11) == [(8 * j, 6 + 2 * (j % 2)) for j in range(8)]
