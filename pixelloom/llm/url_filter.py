@@ -8,9 +8,12 @@ uniform distribution of bytes. The score is the difference of the two log-likeli
 length; a url is allowed where it reaches the threshold that best separates the calibration fold, a
 fifth of the decided urls that the models do not learn from.
 
-Training sees at most `sample` urls of each verdict (drawn by hash of the url). Without urls of both
-verdicts, or without calibration urls of both, models are equal or the threshold is 0. A null or empty
-url has no host, path or rule and scores 0. Repeated rows are judged alike. Empty tables give empty
+All distinct urls that rules decide are learnt from or calibrate; the hash of a url says which. Contexts and
+followers are counted by the tasks and summed by a shuffle; the driver holds and sends a count for each
+distinct run of ORDER + 1 bytes, from which the shorter ones follow, and so grows with those, not with the
+urls. The threshold comes from counts of scores in steps of 1 / STEPS, over the whole fold.
+Without urls of both verdicts to learn from models are equal, and without calibration urls of both the
+threshold is 0. A null or empty url has no host, path or rule and scores 0. Repeated rows are judged alike. Empty tables give empty
 results. Other columns are never read.
 """
 
@@ -28,7 +31,8 @@ from .common import ascii_lower, batches_of, table
 #: (rule, verdict). A rule is a host and, from its first slash on, a path.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 ORDER = 5
-SAMPLE = 20_000
+STEPS = 1 << 14
+_FOLD = 5  # one in so many decided urls calibrates
 _EDGE = 1  # stands before a url's first byte and behind its last
 
 
@@ -72,12 +76,27 @@ class Markov:
     """Counts of contexts and of their followers for the orders 0 to ORDER."""
 
     def __init__(self, urls: list[bytes]):
-        self.tables = []
-        for k, key in enumerate(_grams(urls)[0]):
-            seen, n = np.unique(key, return_counts=True)
+        self._build(*np.unique(_grams(urls)[0][ORDER], return_counts=True))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Markov:
+        """The model of distinct packed runs of ORDER + 1 bytes and their counts."""
+        out = cls.__new__(cls)
+        order = np.argsort(keys)
+        out._build(keys[order], counts[order])
+        return out
+
+    def _build(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.runs, self.tables = (keys, counts), []
+        for k in range(ORDER + 1):
+            seen, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, counts, len(seen)).astype(np.int64)
             context, first = np.unique(seen >> np.uint64(8), return_index=True)
             self.tables.append((seen, n, context, np.add.reduceat(n, first) if len(n) else n, np.diff(np.append(first, len(seen)))))
 
+    def __reduce__(self):
+        return Markov.of, self.runs
+
     def log_probability(self, keys: list[np.ndarray]) -> np.ndarray:
         p = np.full(len(keys[0]), 1 / 256)
         for key, (seen, n, context, total, kinds) in zip(keys, self.tables, strict=True):
@@ -92,19 +111,32 @@ class Markov:
         return np.log(p)
 
 
+def threshold(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut between ranges of scores that best separates counts of good and bad urls; 0 without one of them."""
+    if not good.sum() or not bad.sum():
+        return 0.0
+    cuts = np.concatenate([[low[0] - 1e-9], (low[1:] + high[:-1]) / 2, [high[-1] + 1e-9]])
+    right = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum() + np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float(cuts[best[len(best) // 2]])
+
+
 class UrlModel:
     def __init__(self, allowed: list[bytes], blocked: list[bytes]):
         fold = lambda urls, test: [u for k, u in enumerate(urls) if (k % 5 == 4) == test]
         both = bool(allowed and blocked)
         self.allowed, self.blocked = Markov(fold(allowed, False) if both else []), Markov(fold(blocked, False) if both else [])
-        self.threshold = 0.0
         good, bad = self.score(fold(allowed, True)), self.score(fold(blocked, True))
-        if both and len(good) and len(bad):
-            marks = np.unique(np.concatenate([good, bad]))
-            cuts = np.concatenate([[marks[0] - 1e-9], (marks[1:] + marks[:-1]) / 2, [marks[-1] + 1e-9]])
-            right = (good[:, None] >= cuts).mean(axis=0) + (bad[:, None] < cuts).mean(axis=0)
-            best = np.flatnonzero(right >= right.max() - 1e-12)
-            self.threshold = float(cuts[best[len(best) // 2]])
+        marks, at = np.unique(np.concatenate([good, bad]), return_inverse=True)
+        self.threshold = threshold(marks, marks, *(np.bincount(x, minlength=len(marks)) for x in (at[: len(good)], at[len(good) :]))) if both else 0.0
+
+    @classmethod
+    def of(cls, keys: np.ndarray, allowed: np.ndarray, blocked: np.ndarray) -> UrlModel:
+        """The model of the runs of ORDER + 1 bytes of urls of both verdicts, with the threshold 0."""
+        out = cls([], [])
+        if allowed.any() and blocked.any():
+            out.allowed, out.blocked = (Markov.of(keys[n > 0], n[n > 0]) for n in (allowed, blocked))
+        return out
 
     def score(self, urls: list[bytes | None]) -> np.ndarray:
         """Difference of the log-likelihoods over the length; 0 for null and empty urls."""
@@ -116,13 +148,45 @@ class UrlModel:
         return np.where([bool(u) for u in clean], np.bincount(url, gap, len(clean)) / lengths, 0.0)
 
 
-def fit_urls(rows: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """Learns from urls that rules decide, at most `sample` of each verdict."""
-    drawn = {}
-    for verdict in ("allow", "block"):
-        some = rows.filter((F.col("verdict") == verdict) & (F.length("url") > 0)).select("url").orderBy(F.xxhash64("url"), "url").limit(sample)
-        drawn[verdict] = [r["url"].encode() for r in some.collect()]
-    return UrlModel(drawn["allow"], drawn["block"])
+def _tally(batches, values):
+    """Sums of a batch: each distinct value of its urls, and how often it stands in allowed and in blocked ones."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            value, url = values(batches_of(batch, "url"))
+            allowed = np.array([v == "allow" for v in batch.column(1).to_pylist()], bool)[url]
+            seen, at = np.unique(value, return_inverse=True)
+            n = np.bincount(at[allowed], minlength=len(seen)), np.bincount(at[~allowed], minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (seen, *n)], ["value", "allowed", "blocked"])
+
+
+def _runs(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys, url, _ = _grams(urls)
+    return keys[ORDER], url
+
+
+def _steps(urls: list[bytes], model: UrlModel) -> tuple[np.ndarray, np.ndarray]:
+    return np.floor(model.score(urls) * STEPS), np.arange(len(urls))
+
+
+def _sums(urls: DataFrame, values) -> list[np.ndarray]:
+    """value, allowed and blocked over all urls, in the order of values."""
+    each = urls.mapInArrow(partial(_tally, values=values), "value long, allowed long, blocked long")
+    sums = each.groupBy("value").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).toArrow()
+    order = np.argsort(sums.column(0).to_numpy())
+    return [c.to_numpy()[order] for c in sums.columns]
+
+
+def fit_urls(rows: DataFrame) -> UrlModel:
+    """Learns from all distinct urls that rules decide."""
+    decided = rows.filter(F.col("verdict").isNotNull() & (F.length("url") > 0)).select("url", "verdict").distinct()
+    calibrates = F.pmod(F.xxhash64("url"), F.lit(_FOLD)) == _FOLD - 1
+    runs, allowed, blocked = _sums(decided.filter(~calibrates), _runs)
+    model = UrlModel.of(runs.astype(np.uint64), allowed, blocked)
+    if len(model.allowed.runs[0]):
+        step, good, bad = _sums(decided.filter(calibrates), partial(_steps, model=model))
+        model.threshold = threshold(step / STEPS, (step + 1) / STEPS, good, bad)
+    return model
 
 
 def _judge(batches, model: UrlModel):
@@ -135,10 +199,10 @@ def _judge(batches, model: UrlModel):
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, sample: int = SAMPLE) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every url."""
     rows = ruled(pages, rules)
-    model = fit_urls(rows, sample)
+    model = fit_urls(rows)
     asked = rows.select("page_id", "host", "path", "rule", "verdict", "url")
     return asked.mapInArrow(partial(_judge, model=model), "page_id long, host string, path string, rule string, verdict string, score double")
 

@@ -84,3 +84,16 @@ def test_empty_and_unruled(spark):
     assert uf.filter_urls(spark.createDataFrame([], SCHEMA)).collect() == []
     got = uf.filter_urls(spark.createDataFrame([(1, "http://a.net/x", "x", 1)], SCHEMA)).collect()
     assert [(r.rule, r.verdict, r.score) for r in got] == [(None, "allow", 0.0)]
+
+
+def test_model_learns_from_every_decided_url(spark):
+    urls = [f"http://h{k}.{'org/en' if k % 3 else 'com/de'}/{k * 7919}" for k in range(3000)]
+    pages = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate(urls + urls[:1] * 25_000)], SCHEMA).repartition(7)
+    model = uf.fit_urls(uf.ruled(pages))
+    fold = {r.url: r.k for r in spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url", "pmod(xxhash64(url), 5) k").collect()}
+    for markov, verdict in ((model.allowed, "allow"), (model.blocked, "block")):
+        mine = [u.encode() for u in urls if fold[u] != 4 and slow_rule(*slow_parts(u))[1] == verdict]
+        for got, want in zip(markov.tables, uf.Markov(mine).tables, strict=True):
+            assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        test = [u.encode() for u in urls if fold[u] == 4 and slow_rule(*slow_parts(u))[1] == verdict]
+        assert ((model.score(test) >= model.threshold) == (verdict == "allow")).mean() > 0.99
