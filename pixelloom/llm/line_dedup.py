@@ -1,14 +1,13 @@
-"""Removal of repeated runs of lines, found by winnowing over line hashes.
+"""Removal of repeated runs of lines, found by content hashes of blocks of lines.
 
 A line's hash covers its words, lower-cased (A-Z), so white space does not count; blank lines belong to
 no run and are passed over. A gram is the shortest block of lines from a line on (or up to a line) that
-holds at least MIN_WORDS words. Winnowing takes the smallest line hash of each gram as its fingerprint:
-two equal runs of so many words hold equal grams and so a common fingerprint, which is the guarantee.
+holds at least MIN_WORDS words. Two equal runs of so many words hold equal grams, which is the guarantee.
 
-Fingerprints are joined on their hash. Only grams whose fingerprint occurs more than once are looked at
-further: grams of equal content are matched, and every gram that has an earlier equal marks all its
-lines. Grams reach from each fingerprint forwards and backwards, so the marked grams of a match
-together extend it both ways to its full length. Earlier is by (doc_id, line); marked lines are deleted,
+Grams are matched by a hash of their content, and every gram that has an earlier equal marks all its
+lines. The grams from each line on and up to each line of a match together cover its full length, so
+positions are not joined and matches not extended line by line. The smallest line hash of a gram is only
+a filter: grams whose smallest hash occurs at one place have no equal and are dropped before the matching. Earlier is by (doc_id, line); marked lines are deleted,
 so the first copy of a run stays.
 
 Null and empty texts have no lines. Null doc_ids come last in order. Rows of equal doc_id are ordered by
