@@ -36,6 +36,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows to drop that are broadcast at most; more are dropped by a sort-merge join.
+FEW_KEYS = 500_000
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not among the taken ones (case aside)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of docs, in all their columns, whose keys are not among the rows of dropped (in the order of keys).
+
+    Texts are shuffled only if dropped has more than FEW_KEYS distinct rows, as counted."""
+    gone = materialise(dropped.toDF(*[f"k{i}" for i in range(len(keys))]).distinct(), "dropped")
+    few = gone.count() <= FEW_KEYS
+    names = [fresh(f"key{i}", docs.columns) for i in range(len(keys))]
+    rows = docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    gone = gone.toDF(*names)
+    return rows.join(F.broadcast(gone) if few else gone.hint("merge"), names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of one byte a character take the faster built-in way."""
     plain = F.length(text) == F.octet_length(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -32,18 +34,19 @@ def _small(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["node", "label"])
 
 
-def components(edges: DataFrame, few: int | None = None, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, few: int | None = None) -> DataFrame:
     """(node, label) of every node of edges(a, b), which are longs: label is the smallest node that it reaches.
 
     At most `few` edges (FEW_EDGES unless given), as counted, go through one task. More are worked on in rounds: each
-    lowers labels along the edges and then jumps to the label's own label, until nothing changes.
+    lowers labels along the edges and then jumps to the label's own label, until nothing changes (labels only fall,
+    so that comes).
     Nulls must not occur; repeated edges and loops do no harm."""
     pairs = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if pairs.count() <= (FEW_EDGES if few is None else few):
         return materialise(pairs.repartition(1).mapInArrow(_small, "node long, label long"), "labels")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("m", "node").alias("label")), "labels")
-    for i in range(limit):
+    for i in count():
         offers = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
         lower = labels.join(offers, "node").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
         lower = materialise(lower, f"lower{i}")
@@ -53,4 +56,3 @@ def components(edges: DataFrame, few: int | None = None, limit: int = 60) -> Dat
         labels = materialise(jumped.observe(seen, F.count_if(F.col("label") < F.col("was")).alias("moved")), f"jumped{i}").select("node", "label")
         if not seen.get["moved"]:
             return labels
-    raise RuntimeError("components did not settle")
