@@ -47,7 +47,7 @@ from .components import components
 from .words import SPACED, mix, word_hashes
 
 DF_BITS = 22
-_SLICES = 64
+_SLICES = 16
 #: Pivots of the first level, and their shingles, at most: the bound of what is broadcast.
 PIVOTS = 512
 PIVOT_SHINGLES = 1 << 20
