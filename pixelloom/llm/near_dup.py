@@ -60,7 +60,7 @@ REGION_ROWS = 4096
 REGION_SHINGLES = 1 << 22
 #: All pairs of so few nodes are measured outright.
 FEW = 6
-DEPTH = 6
+DEPTH = 3
 #: A cell is spread over tasks from so many documents beyond four times the mean counter on.
 SALT_ROWS = 20_000
 #: Nodes whose texts are found by a broadcast of their ids at most; more are found by a sort-merge join.
@@ -321,28 +321,32 @@ def _first_level(batches, k: int, seed: int, rule: Threshold, counters, net):
 _MEMBERS = "region long, node long, n int"
 
 
-def _elect(cols: list[np.ndarray], whole: bool, merge: bool) -> pa.RecordBatch:
+def _elect(cols: list[np.ndarray], whole: bool, merge: bool, rule: Threshold) -> pa.RecordBatch:
     """Rows of cells, sorted by cell, salt and node -> (region, node, n) of the cells that may hold a link.
 
-    The region is the cell's first node, or the cell itself unless `merge`. Spread cells stay as they are; links get
-    n = -1. Unless `whole`, the cells have more rows than are here."""
+    The region is the cell's least node, or the cell itself unless `merge`. Spread cells stay as they are; links get
+    n = -1. Unless `whole`, the cells have more rows than are here; whole ones are cut where sizes are too far apart."""
     cell, salt, node, n, kind = cols
     new = np.ones(len(cell), bool)
     new[1:] = (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1])
     once = new.copy()
     once[1:] |= node[1:] != node[:-1]
     cell, salt, node, n, kind, new = (x[once] for x in (cell, salt, node, n, kind, new))
+    if whole and len(cell):
+        order = np.lexsort((n, np.cumsum(new)))
+        cell, salt, node, n, kind = (x[order] for x in (cell, salt, node, n, kind))
+        new[1:] |= (salt[1:] < 0) & ~rule.fits(n[1:].astype(np.int64), n[:-1].astype(np.int64))
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(new)))
-    kinds = np.bitwise_or.reduceat(kind, start) if len(start) else kind
+    kinds, least = (np.bitwise_or.reduceat(kind, start), np.minimum.reduceat(node, start)) if len(start) else (kind, node)
     keep = np.repeat((salt[start] >= 0) | (not whole) | ((size > 1) & (kinds == OFFERS | SEEKS | AWAY)), size)
-    region = np.where(salt >= 0, cell, np.repeat(node[start] if merge else cell[start], size))
+    region = np.where((salt >= 0) | (not merge), cell, np.repeat(least, size))
     size = np.where(kind == 0, -1, n)
     got = np.unique(np.stack([region[keep], node[keep], size[keep].astype(np.int64)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(got[:, 2].astype(np.int32))], ["region", "node", "n"])
 
 
-def _regions(batches, merge: bool):
+def _regions(batches, merge: bool, rule: Threshold):
     """Streams sorted rows of cells. Of a cell that goes on, only so many rows are held, then its first alone."""
     held, open_ = None, False
     for batch in batches:
@@ -353,24 +357,36 @@ def _regions(batches, merge: bool):
             continue
         new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
         if open_ and len(new):  # the rest of a cell whose first rows have been judged
-            yield _elect([c[: new[0]] for c in cols], False, merge)
+            yield _elect([c[: new[0]] for c in cols], False, merge, rule)
             cols, new, open_ = [c[new[0] :] for c in cols], new[1:] - new[0], False
         if len(new):
-            yield _elect([c[: new[-1]] for c in cols], True, merge)
+            yield _elect([c[: new[-1]] for c in cols], True, merge, rule)
         held = [c[new[-1] if len(new) else 0 :] for c in cols]
         if len(held[0]) > REGION_ROWS:
-            yield _elect(held, False, merge)
+            yield _elect(held, False, merge, rule)
             held, open_ = [c[:1] for c in held], True
     if held is not None:
-        yield _elect(held, not open_, merge)
+        yield _elect(held, not open_, merge, rule)
+
+
+_PLACED = "region long, salt int, first int, node long, shingles binary"
 
 
 def _sets(batches, k: int):
+    """Rows (node, places, text) -> a row of the text's set for each place (region, salt, first); a node once a task."""
+    seen: set[int] = set()
     for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            sets = [s.tobytes() for s in shingle_sets(batches_of(batch, "text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for at in range(0, whole.num_rows, 100):
+            batch = whole.slice(at, 100)
+            nodes, places = batch.column(0).to_pylist(), batch.column(1)
+            again = np.array([x in seen or seen.add(x) is not None for x in nodes], bool)
+            sets = pa.array([s.tobytes() for s in shingle_sets(batches_of(batch, "text"), k)], pa.binary())
+            counts = np.where(again, 0, places.value_lengths().to_numpy())
+            which, flat = np.repeat(np.arange(len(nodes)), counts), places.flatten()
+            kept = flat.take(pa.array(spread(places.offsets.to_numpy()[:-1] - places.offsets[0].as_py(), counts)))
+            for start in range(0, len(which), 500):
+                part, rows = kept.slice(start, 500), pa.array(which[start : start + 500])
+                yield pa.RecordBatch.from_arrays([*part.flatten(), batch.column(0).take(rows), sets.take(rows)], ["region", "salt", "first", "node", "shingles"])
 
 
 def spanning(pairs) -> list[tuple[int, int]]:
@@ -453,7 +469,7 @@ def _parts(count: np.ndarray):
 
 
 def _join_regions(batches, rule: Threshold):
-    """Rows (region, node, shingles) sorted by region -> links (a, b)."""
+    """Rows of _PLACED sorted by region and node -> links (a, b)."""
 
     def close():
         links = region_links([np.frombuffer(s, "<u8") for s in sets], rule) if len(sets) > 1 else []
@@ -461,19 +477,20 @@ def _join_regions(batches, rule: Threshold):
 
     now, nodes, sets = None, [], []
     for batch in batches:
-        for region, node, raw in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+        for region, node, raw in zip(*(batch.column(j).to_pylist() for j in (0, 3, 4)), strict=True):
             if region != now:
                 if len(nodes) > 1:
                     yield close()
                 now, nodes, sets = region, [], []
-            nodes.append(node)
-            sets.append(raw)
+            if not nodes or nodes[-1] != node:  # rows that repeat id and text give a node from several tasks
+                nodes.append(node)
+                sets.append(raw)
     if len(nodes) > 1:
         yield close()
 
 
 def _part_regions(batches, rule: Threshold, counters):
-    """Rows (region, salt, first, node, shingles), the pivot first in each salt of a region -> rows of _CELLS."""
+    """Rows of _PLACED sorted by region and salt, the pivot (first = 0) ahead of the others -> rows of _CELLS."""
     df, now, pivot, leader = counters.value, None, None, None
     for batch in batches:
         rows = _Rows()
@@ -532,16 +549,16 @@ class JaccardJoin:
     def found(self, cells: DataFrame, merge: bool, label: str) -> tuple[DataFrame, DataFrame]:
         """(links, members of regions) from rows of cells."""
         dealt = cells.repartition(self.parts, "cell", "salt").sortWithinPartitions("cell", "salt", "node")
-        rows = materialise(dealt.mapInArrow(partial(_regions, merge=merge), _MEMBERS).distinct(), label)
+        rows = materialise(dealt.mapInArrow(partial(_regions, merge=merge, rule=self.rule), _MEMBERS).distinct(), label)
         return rows.filter("n < 0").select(F.col("region").alias("a"), F.col("node").alias("b")), rows.filter("n > 0")
 
-    def fetch(self, members: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes of members."""
-        asked = materialise(members.select("node").distinct().join(self.nodes.select("node", "place.pid", "place.tkey").hint("merge"), "node"), "asked")
-        asked = F.broadcast(asked) if asked.count() <= FEW_NODES else asked.hint("merge")
-        # of rows that repeat id and text, one will do
-        rows = self.texts.select("pid", "tkey", "text").join(asked, ["pid", "tkey"]).select("node", "text")
-        return materialise(rows.mapInArrow(partial(_sets, k=self.k), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    def placed(self, rows: DataFrame, label: str) -> DataFrame:
+        """rows(region, salt, first, node) with the sets of their nodes. Sets are made anew from the texts, next to which
+        go the places that ask for them, so each is shuffled once for each place."""
+        asked = rows.groupBy("node").agg(F.collect_set(F.struct("region", "salt", "first")).alias("places"))
+        asked = materialise(asked.join(self.nodes.select("node", "place.pid", "place.tkey").hint("merge"), "node"), f"asked-{label}")
+        texts = self.texts.select("pid", "tkey", "text").join(F.broadcast(asked) if rows.count() <= FEW_NODES else asked.hint("merge"), ["pid", "tkey"])
+        return texts.select("node", "places", "text").mapInArrow(partial(_sets, k=self.k), _PLACED)
 
     def links(self) -> DataFrame:
         """Links (a, b) that suffice for the components."""
@@ -549,35 +566,34 @@ class JaccardJoin:
         counters, net = context.broadcast(_frequencies(self.signed)), context.broadcast(self.net())
         cells = self.texts.select("text").mapInArrow(partial(_first_level, k=self.k, seed=self.seed, rule=self.rule, counters=counters, net=net), _CELLS)
         links, members = self.found(cells, True, "regions0")
-        sets = self.fetch(members)
         for level in range(1, DEPTH + 1):
             sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("node").alias("pivot"))
             large = materialise(sizes.filter((F.col("m") > REGION_ROWS) | (F.col("total") > REGION_SHINGLES)), f"large{level}")
             if large.isEmpty():
-                return self.joined(links, members, sets)
-            links = self.joined(links, members.join(large.select("region").hint("merge"), "region", "left_anti"), sets)
+                return self.joined(links, members, level)
+            links = self.joined(links, members.join(large.select("region").hint("merge"), "region", "left_anti"), level)
             members = members.join(large.hint("merge"), "region")
             if level == DEPTH:
                 break
-            more, members = self.found(self.parted(members, sets, counters), False, f"regions{level}")
+            more, members = self.found(self.parted(members, level, counters), False, f"regions{level}")
             links = links.unionByName(more)
-        return self.joined(links, self.blocks(members), sets)
+        return self.joined(links, self.blocks(members), DEPTH + 1)
 
-    def joined(self, links: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    def joined(self, links: DataFrame, members: DataFrame, level: int) -> DataFrame:
         """The links and those within the regions of members, each region joined by one task."""
-        rows = members.select("region", "node").join(sets.hint("merge"), "node").select("region", "node", "shingles")
-        rows = rows.repartition(self.parts, "region").sortWithinPartitions("region")
+        rows = self.placed(members.select("region", F.lit(0).alias("salt"), F.lit(0).alias("first"), "node"), f"join{level}")
+        rows = rows.repartition(self.parts, "region").sortWithinPartitions("region", "node")
         return materialise(links.unionByName(rows.mapInArrow(partial(_join_regions, rule=self.rule), "a long, b long")), "links")
 
     def pieces(self) -> F.Column:
         """How many tasks a large region is spread over."""
         return F.greatest(F.ceil(2 * F.col("m") / REGION_ROWS), F.ceil(2 * F.col("total") / REGION_SHINGLES)).cast("int")
 
-    def parted(self, members: DataFrame, sets: DataFrame, counters) -> DataFrame:
+    def parted(self, members: DataFrame, level: int, counters) -> DataFrame:
         """Rows of cells of large regions: members against the pivot, which every task of a region gets."""
         pivots = members.filter("node = pivot").select("region", F.explode(F.sequence(F.lit(0), self.pieces() - 1)).alias("salt"), F.lit(0).alias("first"), "node")
         others = members.filter("node != pivot").select("region", F.pmod(F.xxhash64("node"), self.pieces()).cast("int").alias("salt"), F.lit(1).alias("first"), "node")
-        rows = pivots.unionByName(others).join(sets.hint("merge"), "node").select("region", "salt", "first", "node", "shingles")
+        rows = self.placed(pivots.unionByName(others), f"part{level}")
         rows = rows.repartition(self.parts, "region", "salt").sortWithinPartitions("region", "salt", "first")
         return rows.mapInArrow(partial(_part_regions, rule=self.rule, counters=counters), _CELLS)
 
