@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, materialise, release, table, without
 from .components import components
-from .words import SPACED, mix, word_hashes
+from .words import SPACED, mix, spread, word_hashes
 
 DF_BITS = 22
 _SLICES = 16
@@ -151,12 +151,6 @@ def _frequencies(signed: DataFrame) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The numbers start[i], start[i] + 1, ... (count[i] of them), one run after the other."""
-    ends = np.cumsum(count)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
-
-
 class Threshold:
     """A similarity of at least num / den, and what it says of sets and of their differences to a pivot."""
 

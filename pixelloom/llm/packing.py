@@ -5,8 +5,9 @@ into pieces of that length and a rest. Pieces are dealt evenly to groups of abou
 ids and lengths move, not texts), and each group is packed on its own:
 
 * pieces go by falling length, each into the open bin with the least room that still takes it;
-* if none takes it, a bin is opened whose permitted length costs least for each token that it can still
-  get: cost(L) / min(L, piece + all pieces to come). All permitted lengths compete at every opening;
+* if none takes it, a bin is opened. All permitted lengths compete at every opening: each is filled on trial with the
+  piece and then, longest first, with pieces that are still to come, and the length whose shrunk trial bin costs least
+  for each of its tokens is opened (the shortest of equals);
 * at last each bin shrinks to the shortest permitted length that holds its contents.
 
 cost(L) = L + overhead + L * L / quadratic: the tokens, a fixed price of a sequence and attention.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .tokens import encoder, forget
+from .tokens import encoder, forget, slices
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP = 50_000
@@ -37,47 +38,58 @@ def cost(length: int, overhead: int = 64, quadratic: int = 16_384) -> float:
     return length + overhead + length * length / quadratic
 
 
+def _trial(n: int, size: int, left: list[int], have: int) -> int:
+    """What a bin of that size would hold: a piece of length n, then the longest of the pieces left that fit."""
+    room, cap = size - n, size - n
+    while cap > 0 and (fits := have & ((1 << (cap + 1)) - 1)):
+        m = fits.bit_length() - 1
+        room -= m * min(left[m], room // m)
+        cap = min(room, m - 1)
+    return size - room
+
+
 def pack(lengths: np.ndarray, permitted: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, its offset there, length of each bin). No piece may exceed the longest permitted length."""
     sizes = sorted(permitted)
     prices = {size: cost(size) for size in sizes}
+    shrink = lambda used: next(s for s in sizes if s >= used)
     order = np.argsort(-lengths, kind="stable").tolist()
     values = lengths.tolist()
-    to_come = int(lengths.sum())
+    left = np.bincount(lengths.astype(np.int64), minlength=sizes[-1] + 1).tolist()  # pieces to come, by length
+    have = sum(1 << n for n, times in enumerate(left) if times)
     rooms: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # bins by their room
     some = 0  # bit r is set where rooms[r] has a bin
-    bins, offsets, used, opened = [0] * len(values), [0] * len(values), [], []
+    bins, offsets, used = [0] * len(values), [0] * len(values), []
     for k in order:
         n = values[k]
+        left[n] -= 1
+        if not left[n]:
+            have &= ~(1 << n)
         above = some >> n
-        if above:
+        if above:  # the bin with the least room; of equals the one that came to it last
             room = (above & -above).bit_length() - 1 + n
             b = rooms[room].pop()
             if not rooms[room]:
                 some &= ~(1 << room)
         else:
-            room = min((s for s in sizes if s >= n), key=lambda s: (prices[s] / min(s, to_come), s))
+            trials = ((s, _trial(n, s, left, have)) for s in sizes if s >= n)
+            room = min((prices[shrink(held)] / held, s) for s, held in trials)[1]
             b = len(used)
             used.append(0)
-            opened.append(room)
         bins[k], offsets[k] = b, used[b]
         used[b] += n
         room -= n
         if room:
             rooms[room].append(b)
             some |= 1 << room
-        to_come -= n
-    shrunk = [next(s for s in sizes if s >= u) for u in used]
-    return bins, offsets, shrunk
+    return bins, offsets, [shrink(u) for u in used]
 
 
 def _count(batches, tokenizer: str):
     enc = encoder(tokenizer)
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            n = [len(ids) // 4 + 1 for ids in enc.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        for batch in slices(whole, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.count(batch.column(1)) + 1, pa.int64())], ["doc_id", "n_tokens"])
     del enc
     forget()
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import scratch, table
-from .tokens import encoder
+from .tokens import encoder, forget, slices
 
 #: Ids in a segment at least, but for a part's last one.
 SEGMENT_IDS = 1 << 21
@@ -33,12 +33,12 @@ def _write(batches, tokenizer: str, end_id: int):
     from pyspark import TaskContext
 
     part, seq, before = TaskContext.get().partitionId(), 0, 0
-    enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    enc = encoder(tokenizer)
     docs, lengths, coded, held = [], [], [], 0
 
     def close():
         nonlocal docs, lengths, coded, held, seq, before
-        payload = simple8b.pack_segment(docs, lengths, np.frombuffer(b"".join(coded), "<u4"))
+        payload = simple8b.pack_segment(docs, lengths, np.concatenate(coded))
         row = pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(docs)]), pa.array([held]), pa.array([payload], pa.binary())],
             ["part", "seq", "start_in_part", "n_docs", "n_ids", "payload"],
@@ -48,17 +48,26 @@ def _write(batches, tokenizer: str, end_id: int):
         return row
 
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                docs.append(doc)
-                coded.append(ids + end)
-                lengths.append(len(ids) // 4 + 1)
-                held += lengths[-1]
+        for batch in slices(whole, 1):
+            number, ids = enc.encode(batch.column(1))
+            ends = np.cumsum(number)
+            ids = np.insert(ids, ends, end_id)  # after the last id of each document
+            ends += np.arange(1, len(ends) + 1)
+            names, number, first, at = batch.column(0).to_pylist(), (number + 1).tolist(), 0, 0
+            while first < len(names):  # a segment is closed by the document that fills it
+                full = int(np.searchsorted(ends, at + SEGMENT_IDS - held))
+                last = min(full + 1, len(names))
+                docs += names[first:last]
+                lengths += number[first:last]
+                coded.append(ids[at : ends[last - 1]])
+                held += int(ends[last - 1]) - at
+                first, at = last, int(ends[last - 1])
                 if held >= SEGMENT_IDS:
                     yield close()
     if docs:
         yield close()
+    del enc
+    forget()
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, parts: int | None = None) -> None:

@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelloom.llm import simple8b, token_output
+from pixelloom.llm import simple8b, token_output, tokens
 from pixelloom.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, n_tokens string"
@@ -36,8 +38,29 @@ def test_blocks_decode_alone():
 def test_words_give_the_ids_of_the_text(text):
     enc = Encoder("word_bpe_49k.json")
     want = enc.tokenizer.encode(text, add_special_tokens=False).ids
-    for _ in range(2):
-        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == want
+    number, ids = enc.encode(pa.array([text, None, text]))
+    assert ids.tolist() == want * 2 and number.tolist() == [len(want), 0, len(want)] == enc.count(pa.array([text, None, text])).tolist()
+
+
+#: Letters, marks and spaces on which lower-casing, normal forms, splitting and special tokens depend.
+ODD = "abcxyzABCXYZ.,;!?'\"<|>()-_*%$ 019éÉàçßÿÜñœŒİıſK\u00c5ΣσςµªºǺ̇\u00a0\u2003\u0085\u200b\x1c\x1fǅ中ё٣½\n"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_random_texts(name):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list(ODD), int(rng.integers(0, 15)))) for _ in range(8000)] + ["İ.", "cİ, x", "Tokatlİ.", "İSTANBULİ.", "<|ENDOFTEXT|>", "a<|endoftext|>b", "'LL", "x" * 200]
+    enc = Encoder(name)
+    number, ids = enc.encode(pa.array(texts))
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(number)[:-1])] == want
+
+
+def test_plain_words_are_merged_here():
+    enc = Encoder("word_bpe_49k.json")
+    assert enc.merges is not None
+    words = pa.array(["tionthsh", "banana", "été!!", "(x)", "a-b"])
+    assert pc.match_substring_regex(words, tokens._PLAIN).to_pylist() == [True, True, True, True, False]
 
 
 def brute(rows):
