@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder in the shared checkpoint folder that the session names.
 
-    Only a session that names none (tests, a laptop) gets a temporary folder of its own.
+    Only a local session that names none (tests, a laptop) gets a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -54,10 +56,15 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFram
     Texts are shuffled only if dropped has more than FEW_KEYS distinct rows, as counted."""
     gone = materialise(dropped.toDF(*[f"k{i}" for i in range(len(keys))]).distinct(), "dropped")
     few = gone.count() <= FEW_KEYS
+    return narrowed(docs, gone, few, keys, "left_anti")
+
+
+def narrowed(docs: DataFrame, wanted: DataFrame, few: bool, keys: list[Column], how: str) -> DataFrame:
+    """docs joined (left_anti, left_semi) with wanted, whose columns are the keys in order; broadcast if few."""
     names = [fresh(f"key{i}", docs.columns) for i in range(len(keys))]
     rows = docs.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
-    gone = gone.toDF(*names)
-    return rows.join(F.broadcast(gone) if few else gone.hint("merge"), names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    wanted = wanted.toDF(*names)
+    return rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), names, how).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,11 +7,12 @@ other with a gap between them. Segments are built where the texts are read, with
 A phrase is found in a segment by taking its rarest term's positions, shifted by the term's offset in
 the phrase, and intersecting them with the shifted lists of the others, rarest first. Proximity search
 takes the places near the rarest term's positions and slides over the merged lists. The test phrases
-go to all segments in blocks of at most BLOCK_TERMS terms, so what is broadcast is bounded.
+go to all segments in blocks of items of at most BLOCK_TERMS words, one job a block, so what is broadcast is bounded.
 
 Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. Null and empty texts
 have none; a null item_id is reported as an empty string; items of no words never match; repeated rows are
-judged each on its own, whatever their doc_id. Empty tables give empty or clean results. Other columns
+judged each on its own, whatever their doc_id. Texts of any length are indexed whole; a segment ends with the text
+that fills it, and positions are 32-bit, so a text may hold four thousand million words. Empty tables give empty or clean results. Other columns
 are never read.
 """
 
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, scratch, table
+from .common import batches_of, materialise, scratch, table, without
 from .words import ALNUM, word_hashes
 
 WINDOW = 13
 #: Words in a segment at least, but for a task's last one.
 SEGMENT_WORDS = 1 << 20
-#: Terms of test phrases that are broadcast together at most, but for a single item.
-BLOCK_TERMS = 2_000_000
+#: Words of test items that are broadcast together at most, but for a single item.
+BLOCK_TERMS = 200_000
 SEGMENTS = "part int, seq int, doc_ids array<long>, n_words array<long>, terms binary, offsets binary, positions binary"
 SPANS = "part int, seq int, doc_no int, doc_id long, n_words long, items array<string>, starts array<long>, ends array<long>"
 
@@ -162,8 +163,8 @@ def _merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _find_phrases(batches, block, every: bool):
-    phrases = block.value
+def _find_phrases(batches, block, window: int, every: bool):
+    phrases = _windows(block.value, window)
     for part, seq, segment in _segments(batches):
         items_of: dict[int, set] = {}
         spans_of: dict[int, list] = {}
@@ -201,7 +202,7 @@ def _item_blocks(tests: DataFrame):
     block, size = [], 0
     for r in rows.toLocalIterator():
         words = word_hashes([r["text"].encode()], ALNUM)[0]
-        if block and size + len(words) > BLOCK_TERMS // WINDOW:
+        if block and size + len(words) > BLOCK_TERMS:
             yield block
             block, size = [], 0
         if len(words):
@@ -222,14 +223,20 @@ def _windows(block: list, window: int) -> dict[int, tuple[np.ndarray, list]]:
 
 
 def _blockwise(segments: DataFrame, tests: DataFrame, search) -> DataFrame:
-    """Runs search over all segments for each block of tests and joins the findings of each document."""
-    found = None
-    for k, block in enumerate(_item_blocks(tests)):
-        rows = segments.mapInArrow(search(block, k == 0), SPANS)
+    """Runs search(broadcast, every) over all segments for each block of tests and joins the findings of each document.
+
+    With more than one block, each is a job of its own whose broadcast is given back before the next."""
+    context = segments.sparkSession.sparkContext
+    blocks = _item_blocks(tests)
+    block, following, found = next(blocks), next(blocks, None), None
+    if following is None:
+        return segments.mapInArrow(search(context.broadcast(block), True), SPANS)
+    while block is not None:
+        sent = context.broadcast(block)
+        rows = materialise(segments.mapInArrow(search(sent, found is None), SPANS), "hits")
+        sent.unpersist()
         found = rows if found is None else found.unionByName(rows)
-        many = k > 0
-    if not many:
-        return found
+        block, following = following, next(blocks, None)
     return found.groupBy("part", "seq", "doc_no").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
@@ -243,22 +250,12 @@ def find_phrases(segments: DataFrame, tests: DataFrame, window: int = WINDOW) ->
     """Every document with the items that share a window of words with it and the spans of words hit:
     part, seq, doc_no, doc_id, n_words, items, starts, ends (spans half-open, in words; those of
     different blocks of tests may overlap)."""
-    context = segments.sparkSession.sparkContext
-
-    def search(block, every):
-        return partial(_find_phrases, block=context.broadcast(_windows(block, window)), every=every)
-
-    return _blockwise(segments, tests, search)
+    return _blockwise(segments, tests, lambda block, every: partial(_find_phrases, block=block, window=window, every=every))
 
 
 def find_near(segments: DataFrame, tests: DataFrame, within: int) -> DataFrame:
     """As find_phrases, for documents that hold all words of an item, in any order, within so many words."""
-    context = segments.sparkSession.sparkContext
-
-    def search(block, every):
-        return partial(_find_near, block=context.broadcast(block), within=within, every=every)
-
-    return _blockwise(segments, tests, search)
+    return _blockwise(segments, tests, lambda block, every: partial(_find_near, block=block, within=within, every=every))
 
 
 def _verdicts(batches):
@@ -287,17 +284,12 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Da
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, in all their columns, that are not contaminated.
+    """The rows of docs, in all their columns, that hold no window of any test, however small its share of the text.
 
     Rows are found again by a 64-bit hash of the text: what is judged is the text alone."""
-    spark = docs.sparkSession
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    segments = build_index(docs.select(key.alias("doc_id"), "text"), scratch(spark, "postings"))
-    found = find_phrases(segments, tests, window).filter("size(starts) > 0").select("doc_id", "n_words", "items", "starts", "ends")
-    judged = found.mapInArrow(_verdicts, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    dropped = judged.filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    rows = docs.withColumn("__sum", key)
-    return rows.join(dropped.hint("merge"), rows["__sum"] == dropped["__hit"], "left_anti").drop("__sum")
+    segments = build_index(docs.select(key.alias("doc_id"), "text"), scratch(docs.sparkSession, "postings"))
+    return without(docs, find_phrases(segments, tests, window).filter("size(starts) > 0").select("doc_id"), [key])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ operations run here.
 Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts in
 the batch that brings a digest in, the largest doc_id stays; null doc_ids lose against any other, and
 if all are null keep_id is null. Rows that repeat both doc_id and text are copies of one document:
-one of them stays. Empty tables give empty results. Other columns are never read.
+one of them stays. Texts of any length are hashed whole. Empty tables give empty results. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import FEW_KEYS, ascii_lower, materialise, narrowed, without
 
 #: A digest with at least this share of all rows is joined by broadcast: there are at most as many.
 HOT_SHARE = 512
@@ -28,10 +28,20 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 32):
         self.spark, self.name, self.buckets = spark, name, buckets
+        if spark.catalog.tableExists(f"{name}_compact"):  # a compaction was cut short
+            done = not spark.catalog.tableExists(name)
+            spark.sql(f"ALTER TABLE {name}_compact RENAME TO {name}" if done else f"DROP TABLE {name}_compact")
         if not spark.catalog.tableExists(name):
             self._append(spark.createDataFrame([], "digest string, keep_id long, group_size long"))
 
-    def _append(self, df: DataFrame) -> None:
+    def compact(self) -> None:
+        """Rewrites the table with one sorted file a bucket, to be called after many batches: each adds a file a bucket,
+        and joins must sort a bucket that has more than one. The old table goes only when the new one is whole."""
+        self._append(self.table(), f"{self.name}_compact")
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {self.name}_compact RENAME TO {self.name}")
+
+    def _append(self, df: DataFrame, name: str | None = None) -> None:
         (
             df.select("digest", "keep_id", "group_size")
             .repartition(self.buckets, "digest")
@@ -39,7 +49,7 @@ class DigestIndex:
             .format("parquet")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .saveAsTable(self.name)
+            .saveAsTable(name or self.name)
         )
 
     def table(self) -> DataFrame:
@@ -84,19 +94,38 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Judges docs against the named index, or against a new one."""
+    """Judges docs against the named index, or against a new one that is dropped again."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return DigestIndex(spark, index or f"digests_{uuid.uuid4().hex}", buckets).add(docs, id_col, text_col)
+    name = index or f"digests_{uuid.uuid4().hex}"
+    judged = DigestIndex(spark, name, buckets).add(docs, id_col, text_col)
+    if index is None:
+        judged = materialise(judged, "judged")
+        spark.sql(f"DROP TABLE {name}")
+    return judged
 
 
 def keep_first_rows(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, in all their columns, that stay: one for each kept (doc_id, digest)."""
+    """The rows of docs, in all their columns, that stay: one for each kept (doc_id, digest).
+
+    Of rows that repeat both, the one whose columns come first as JSON stays. Only keys are joined, and texts are
+    shuffled only if more than FEW_KEYS keys go."""
     digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    kept = judged.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__sum", digest)
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__sum"] == kept["__digest"])
-    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__sum"]).drop("__sum")
+    own = F.col(id_col).cast("long")
+    keys = [F.coalesce(own, F.lit(0).cast("long")), own.isNull(), digest]
+    each = judged.groupBy(F.coalesce("doc_id", F.lit(0).cast("long")).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("text_sha256").alias("k2"))
+    each = materialise(each.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "keys")
+    rows = without(docs, each.filter("NOT kept").select("k0", "k1", "k2"), keys)
+    twice = each.filter("kept AND n > 1").select("k0", "k1", "k2")
+    many = twice.count()
+    if not many:
+        return rows
+    once = narrowed(rows, twice, many <= FEW_KEYS, keys, "left_anti")
+    names = docs.columns
+    every = F.struct(*[F.col(f"`{c}`") for c in names])
+    again = narrowed(rows, twice, many <= FEW_KEYS, keys, "left_semi").groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    first = again.agg(F.min_by(every, F.to_json(every)).alias("row")).select("row.*").toDF(*names)
+    return once.unionByName(first)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

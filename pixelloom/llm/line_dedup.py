@@ -1,18 +1,24 @@
-"""Removal of repeated runs of lines, found by content hashes of blocks of lines.
+"""Removal of repeated runs of lines, by winnowing over line hashes.
 
 A line's hash covers its words, lower-cased (A-Z), so white space does not count; blank lines belong to
-no run and are passed over. A gram is the shortest block of lines from a line on (or up to a line) that
-holds at least MIN_WORDS words. Two equal runs of so many words hold equal grams, which is the guarantee.
-
-Grams are matched by a hash of their content, and every gram that has an earlier equal marks all its
-lines. The grams from each line on and up to each line of a match together cover its full length, so
-positions are not joined and matches not extended line by line. The smallest line hash of a gram is only
-a filter: grams whose smallest hash occurs at one place have no equal and are dropped before the matching. Earlier is by (doc_id, line); marked lines are deleted,
-so the first copy of a run stays.
+no run and are passed over. A window is the shortest block of lines from a line on (or up to a line) that
+holds at least MIN_WORDS words. Two equal runs of so many words hold equal windows, which is the guarantee.
+
+* Winnowing. Of each window only the line with the least hash (the last of equals) is selected. Neighbouring windows
+  mostly select the same line, so a text has few fingerprints: hash and position. Equal windows select equal lines.
+* Join of positions. Fingerprints that occur at one place only are dropped by an aggregation that is combined before its
+  shuffle. The texts with positions that are left are read again, and only the windows that selected one of these positions
+  are compared, by a hash of their lines; each is joined with the first window that equals it.
+* Extension. Windows start at, and end at, every line of a match, so those around a fingerprint that equal
+  windows of an earlier place carry the match on both ways, up to its first and last line. One row a window is joined,
+  with one source, so no pairs of copies are made, however many there are.
+* Deletion. Earlier is by (doc_id, line); lines of windows that have an earlier equal are deleted, so the first copy of a
+  run stays.
 
 Null and empty texts have no lines. Null doc_ids come last in order. Rows of equal doc_id are ordered by
 a hash of their text; rows that repeat both are one document: their lines are marked alike, and against
-each other they are not earlier. Empty tables give empty results. Other columns are never read.
+each other they are not earlier. Texts of any length are read whole. Empty tables give empty results. Other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from .common import batches_of, materialise, table
 from .words import SPACED, mix, word_hashes
 
 MIN_WORDS = 50
+#: Texts (windows) that a broadcast may name; more are found by sort-merge joins.
+FEW = 200_000
 
 
 def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +53,8 @@ def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return index, hashes, sizes
 
 
-def grams(doc: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the distinct grams from each line on and up to each line, within a document."""
+def windows(doc: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the distinct windows from each line on and up to each line, within a document."""
     ends = np.cumsum(sizes)
     starts, n = ends - sizes, len(sizes)
     line = np.arange(n)
@@ -71,47 +79,80 @@ def _content(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _smallest(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The window minimum of each gram."""
-    out = hashes[a].copy() if len(a) else np.empty(0, np.uint64)
-    live, at = np.arange(len(a)), a.copy()
+def _selected(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The line that each window a to b selects: its least hash, the last of equals."""
+    out, live, at = a.copy(), np.arange(len(a)), a.copy()
     while len(live):
-        out[live] = np.minimum(out[live], hashes[at[live]])
+        out[live] = np.where(hashes[at[live]] <= hashes[out[live]], at[live], out[live])
         at[live] += 1
         live = live[at[live] <= b[live]]
     return out
 
 
-def _all_grams(batches, least: int):
-    """A row for each gram: its place, fingerprint and content."""
+def _split(texts: list[bytes], least: int):
+    """(text, number in it, hash) of each line with words, and the windows: first, last, selected line (places among these)."""
+    split = [t.split(b"\n") for t in texts]
+    counts = np.array([len(x) for x in split], np.int64)
+    index, hashes, sizes = line_hashes([line for x in split for line in x])
+    doc = np.repeat(np.arange(len(split)), counts)[index]
+    a, b = windows(doc, sizes, least)
+    return doc, index - (np.cumsum(counts) - counts)[doc], hashes, a, b, _selected(hashes, a, b)
+
+
+def _fingerprints(batches, least: int):
+    """A row for each line that some window selects."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            doc, number, hashes, _, _, selected = _split(batches_of(batch, "text"), least)
+            lines = np.unique(selected)
+            place = pa.array(doc[lines])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(number[lines].astype(np.int32)), pa.array(hashes[lines].view(np.int64))], ["doc_id", "tkey", "line", "mark"])
+
+
+def _windows(batches, least: int):
+    """Texts with positions of shared fingerprints -> the windows that selected these, with a hash of their lines."""
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            split = [t.split(b"\n") for t in batches_of(batch, "text")]
-            counts = np.array([len(x) for x in split])
-            index, hashes, sizes = line_hashes([line for x in split for line in x])
-            doc = np.repeat(np.arange(len(split)), counts)[index]
-            a, b = grams(doc, sizes, least)
-            own = index - (np.cumsum(counts) - counts)[doc]  # the number of a line in its text
+            doc, number, hashes, a, b, selected = _split(batches_of(batch, "text"), least)
+            asked = batch.column(3)
+            offsets = asked.offsets.to_numpy()
+            wanted = np.repeat(np.arange(batch.num_rows), np.diff(offsets)) << 32 | asked.flatten().to_numpy().astype(np.int64)
+            keep = np.isin(doc[selected] << 32 | number[selected], wanted)
+            a, b = a[keep], b[keep]
             place = pa.array(doc[a])
-            cols = [batch.column(0).take(place), batch.column(1).take(place), own[a].astype(np.int32), own[b].astype(np.int32), _smallest(hashes, a, b).view(np.int64), _content(hashes, a, b).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["doc_id", "tkey", "first", "last", "mark", "content"])
+            cols = [number[a].astype(np.int32), number[b].astype(np.int32), _content(hashes, a, b).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), *map(pa.array, cols)], ["doc_id", "tkey", "first", "last", "content"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+
+
+def _beside(rows: DataFrame, each: DataFrame, column: str, how: str) -> DataFrame:
+    """The texts next to what `each` holds for them: doc_id, tkey, text and the column."""
+    each = materialise(each.select(F.col("doc_id").alias("own_doc"), F.col("tkey").alias("own_key"), column), column)
+    few = each.agg(F.sum(F.size(column))).first()[0] or 0
+    same = rows["doc_id"].eqNullSafe(each["own_doc"]) & (rows["tkey"] == each["own_key"])
+    return rows.join(F.broadcast(each) if few <= 5 * FEW else each.hint("merge"), same, how).select("doc_id", "tkey", "text", column)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Blocks of lines that have an earlier equal: doc_id, tkey (hash of the text), first, last, and the
     document (src_id, src_line) where the content stands first."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    found = rows.mapInArrow(partial(_all_grams, least=min_words), "doc_id long, tkey long, first int, last int, mark long, content long")
-    found = materialise(found, "grams")
-    # fingerprints that occur at one place only need no second look
+    rows = _keyed(docs)
+    marks = materialise(rows.mapInArrow(partial(_fingerprints, least=min_words), "doc_id long, tkey long, line int, mark long"), "fingerprints")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "line")
+    shared = marks.groupBy("mark").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo != hi").select("mark")
+    asked = marks.join(shared.hint("merge"), "mark", "left_semi").groupBy("doc_id", "tkey").agg(F.collect_set("line").alias("lines"))
+    found = _beside(rows, asked, "lines", "inner").mapInArrow(partial(_windows, least=min_words), "doc_id long, tkey long, first int, last int, content long")
+    found = materialise(found.distinct(), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "first", "last")
-    shared = found.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("mark")
-    joined = found.join(shared.hint("merge"), "mark", "left_semi")
-    # by content alone (which implies the mark), so that rows are reduced before they are dealt again
-    earliest = joined.groupBy("content").agg(F.min(place).alias("src"), F.max(place).alias("end")).filter("src != end").select("content", "src")
-    again = found.join(earliest.hint("merge"), "content").filter(~place.eqNullSafe(F.col("src")))
+    earliest = materialise(found.groupBy("content").agg(F.min(place).alias("src"), F.max(place).alias("end")).filter("src != end").select("content", "src"), "earliest")
+    earliest = F.broadcast(earliest) if earliest.count() <= FEW else earliest.hint("merge")
+    again = found.join(earliest, "content").filter(~place.eqNullSafe(F.col("src")))
     # a match that overlaps its own first copy takes only what lies behind that
     same = F.col("doc_id").eqNullSafe(F.col("src.doc_id")) & (F.col("tkey") == F.col("src.tkey"))
     first = F.when(same, F.greatest("first", F.col("src.last") + 1)).otherwise(F.col("first"))
@@ -147,12 +188,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs of lines that were deleted, and the text that is left."""
     blocks = repeated_lines(docs, min_words)
     each = blocks.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("blocks"))
-    each = materialise(each, "blocks").select(F.col("doc_id").alias("b_doc"), F.col("tkey").alias("b_key"), "blocks")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    joined = rows.join(each.hint("merge"), rows["doc_id"].eqNullSafe(each["b_doc"]) & (rows["tkey"] == each["b_key"]), "left")
     schema = "doc_id long, tkey long, n_lines long, n_removed long, words_removed long, runs array<struct<first int, last int>>, text string"
-    return joined.select("doc_id", "tkey", "text", "blocks").mapInArrow(_cut, schema)
+    return _beside(_keyed(docs), each, "blocks", "left").mapInArrow(_cut, schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 Each text becomes FEATURES, numbers that do not depend on its language, source or id. The model holds
 one lookup table a feature and one a pair of features. They are learnt by cyclic boosting: round after
-round, each feature in turn (later each pair) gets a shallow tree fitted to the gradient of the logistic
+round, each feature and then each pair in turn gets a shallow tree fitted to the gradient of the logistic
 loss, and the tree's leaves are added to its table. A score is the sum of the looked-up values, passed
 through the logistic function, so scoring is a search for bins and additions over whole batches.
 
 Training sees at most `sample` labelled rows (drawn by a hash of doc_id); every text is scored whole.
-Empty and null texts are scored as texts without words. Rows without a label or with a null doc_id are
+Texts of any length are scored whole; empty and null texts are scored as texts without words. Rows without a label or with a null doc_id are
 never learnt from; repeated labels count as often as they occur. With fewer than 20 usable rows, or of
 one class only, the score is the share of label 1 (0.5 without labels). Empty tables give empty results.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, release, table
+from .common import batches_of, fresh, release, table
 
 #: Labelled rows that training may see at most.
 SAMPLE = 20_000
@@ -143,8 +143,9 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return float(gain[i, j]), values
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40, n_pairs: int = 8, rate: float = 0.1, bins: int = 48, coarse_bins: int = 8) -> Model:
-    """Fits the model; a fifth of the rows decides how many rounds are kept."""
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, first: int = 8, n_pairs: int = 8, rate: float = 0.1, bins: int = 48, coarse_bins: int = 8) -> Model:
+    """Fits the model: `first` rounds over single features, by whose residuals the pairs are chosen, then rounds over
+    features and pairs together. A fifth of the rows decides how many rounds are kept (none, if none helps)."""
     share = float(y.mean()) if len(y) else 0.5
     base = math.log((share + 1e-6) / (1 - share + 1e-6))
     if len(y) < 20 or share in (0.0, 1.0):
@@ -160,23 +161,12 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40
     total = np.full(len(y), base)
 
     def slopes():
-        p = 1 / (1 + np.exp(-total[fit]))
+        p = 1 / (1 + np.exp(-np.clip(total[fit], -30, 30)))
         return y[fit] - p, np.maximum(p * (1 - p), 1e-6)
 
     def loss():
         return float(np.logaddexp(0, -(2 * y[test] - 1) * total[test]).mean())
 
-    def boost(turns, step):
-        best, kept, stale = loss(), None, 0
-        for _ in range(turns):
-            step()
-            now = loss()
-            if now < best - 1e-6:
-                best, stale, kept = now, 0, (total.copy(), [t.copy() for t in tables], {k: v.copy() for k, v in pairs.items()})
-            elif (stale := stale + 1) >= 10:
-                break
-        return kept
-
     def singles():
         for i in range(width):
             g, h = slopes()
@@ -196,13 +186,23 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40
             pairs[i, j] += values
             total[:] += values[rough[i], rough[j]]
 
-    if kept := boost(rounds, singles):
-        total[:], tables = kept[0], kept[1]
-    g, h = slopes()
-    gains = sorted(((_quadrants(*plane(i, j, g, h))[0], i, j) for i in range(width) for j in range(i)), reverse=True)
-    pairs = {(i, j): np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1)) for _, i, j in gains[:n_pairs]}
-    kept = boost(pair_rounds, doubles)
-    return Model(base, cuts, tables, coarse, kept[2] if kept else {})
+    def state():
+        return [x.copy() for x in tables], {k: v.copy() for k, v in pairs.items()}
+
+    best, kept, stale = loss(), state(), 0
+    for turn in range(rounds):
+        if turn == first:
+            g, h = slopes()
+            gains = sorted(((_quadrants(*plane(i, j, g, h))[0], i, j) for i in range(width) for j in range(i)), reverse=True)
+            pairs.update({(i, j): np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1)) for _, i, j in gains[:n_pairs]})
+        singles()
+        doubles()
+        now = loss()
+        if now < best - 1e-6:
+            best, stale, kept = now, 0, state()
+        elif (stale := stale + 1) >= 10:
+            break
+    return Model(base, cuts, kept[0], coarse, kept[1])
 
 
 def _matrix(values: list) -> np.ndarray:
@@ -246,12 +246,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
 
 def score_quality(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all unless given) and the score of each whole text."""
+    """The columns `keep` of docs (all unless given) and, last, the score of each whole text: `score`, with as many
+    underscores behind it as make the name a new one."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = rows.mapInArrow(partial(_score, model=model), f"{schema}, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias("__score" if "score" in keep else "score"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(fresh("score", keep)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,25 @@ def test_passages_go_and_short_lines_stay(spark):
     assert got[2] == ("two\nend", 57, [(1, 2)])
 
 
+def test_only_window_minima_are_selected():
+    """Equal windows select equal lines, and a text of like lines has few fingerprints."""
+    rng = np.random.default_rng(4)
+    text = "\n".join(" ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 10)) for _ in range(2000)).encode()
+    doc, number, hashes, a, b, selected = line_dedup._split([b"head\n" + text, text + b"\nend"], 50)
+    assert len(np.unique(selected)) < 0.5 * len(a)
+    of = {}
+    for x, y, s in zip(a.tolist(), b.tolist(), selected.tolist(), strict=True):
+        assert hashes[s] == hashes[x : y + 1].min()
+        assert of.setdefault(hashes[x : y + 1].tobytes(), s - x) == s - x
+
+
+def test_joins_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", -1)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, f"own {k}\n{passage}\nx{k % 3}") for k in range(50)] + [(None, passage), (51, None)]
+    assert sorted((str(r.doc_id), r.text, r.n_removed) for r in run(spark, rows, 20)) == sorted((str(d), t, n) for d, t, n in brute(rows, 20))
+
+
 def test_edges(spark):
     text = "\n".join(["same line here"] * 40)
     rows = [(None, None), (1, ""), (2, text), (2, text), (None, text), (3, "x " * 100_000), (4, "x " * 100_000), (5, "\n\n")]
