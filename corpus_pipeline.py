@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; run() writes each
 stage's rows to the shared scratch folder and hands them, reread, to the next. All stages but the last
-return the columns of docs. Rows without a doc_id pass through every stage, judged by their text.
+return the columns of docs, whatever their names. Rows without a doc_id pass through every stage, judged by their
+text: as exact copies they count as one group with rows that have one, and go if such a row stays or if they repeat.
+Null texts count as empty ones. Texts of any length are judged whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the documents that the classifier accepts."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model)
-    return scored.filter(F.col(scored.columns[-1]) >= quality.THRESHOLD).select(*docs.columns)
+    return scored.filter(F.col(f"`{scored.columns[-1]}`") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which a twentieth or more of the words stand in passages of the benchmark."""
+    """Drops the documents that hold a passage of the benchmark (WINDOW words in a row, or a whole shorter item)."""
     return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -60,5 +62,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
-
-
