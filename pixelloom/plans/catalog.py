@@ -139,8 +139,10 @@ def frame_stats(spark, sf_dir):
 
 
 def _near_cte(radius: int) -> str:
-    return f""", near AS (SELECT DISTINCT d.solar_day, d."row", d."col" FROM dense d JOIN dense b ON d.solar_day = b.solar_day AND b.oa_fmask IN (2, 3)
-      AND (d."row" - b."row") * (d."row" - b."row") + (d."col" - b."col") * (d."col" - b."col") <= {radius * radius}),
+    """Pixels that a disk around a bad one reaches: bad pixels moved by every offset of the disk, so joins are on keys."""
+    span = f"range({-radius}, {radius + 1})"
+    return f""", disk AS (SELECT i, j FROM {span} a(i), {span} b(j) WHERE i * i + j * j <= {radius * radius}),
+    near AS (SELECT DISTINCT solar_day, "row" + CAST(i AS INT) AS "row", "col" + CAST(j AS INT) AS "col" FROM dense, disk WHERE oa_fmask IN (2, 3)),
     flags AS (SELECT dense.*, near.solar_day IS NOT NULL AS hit FROM dense LEFT JOIN near USING (solar_day, "row", "col"))"""
 
 
@@ -291,29 +293,30 @@ def km_offset(spark, sf_dir):
     return e.select("aoi", F.round((F.col("x1") - F.col("x0")) / 1000, 4).alias("km_x"), F.round((F.col("y1") - F.col("y0")) / 1000, 4).alias("km_y"))
 
 
-_HALVES = f"WITH {_AOI_CTE}, a AS (SELECT DISTINCT cy, cx FROM cells WHERE aoi % 2 = 0), b AS (SELECT DISTINCT cy, cx FROM cells WHERE aoi % 3 = 0) "
+#: Chunks of all boxes, and of all boxes moved by one chunk east.
+_PAIR = f"WITH {_AOI_CTE}, a AS (SELECT DISTINCT cy, cx FROM cells), b AS (SELECT DISTINCT cy, CAST(cx + 1 AS INT) AS cx FROM cells) "
 
 
-def _halves(spark, sf_dir):
-    c = grid_chunks(spark, sf_dir)
-    return c.filter("aoi % 2 = 0").select("cy", "cx"), c.filter("aoi % 3 = 0").select("cy", "cx")
+def _pair(spark, sf_dir):
+    c = grid_chunks(spark, sf_dir).select("cy", "cx").distinct()
+    return c, c.select("cy", (F.col("cx") + 1).alias("cx"))
 
 
-@query("chunk_intersect", _HALVES + "SELECT * FROM a INTERSECT SELECT * FROM b", days=())
+@query("chunk_intersect", _PAIR + "SELECT * FROM a INTERSECT SELECT * FROM b", days=())
 def chunk_intersect(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
+    a, b = _pair(spark, sf_dir)
     return a.intersect(b)
 
 
-@query("chunk_union", _HALVES + "SELECT * FROM a UNION SELECT * FROM b", days=())
+@query("chunk_union", _PAIR + "SELECT * FROM a UNION SELECT * FROM b", days=())
 def chunk_union(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
+    a, b = _pair(spark, sf_dir)
     return a.unionByName(b).distinct()
 
 
-@query("chunk_subtract", _HALVES + "SELECT * FROM a EXCEPT SELECT * FROM b", days=())
+@query("chunk_subtract", _PAIR + "SELECT * FROM a EXCEPT SELECT * FROM b", days=())
 def chunk_subtract(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
+    a, b = _pair(spark, sf_dir)
     return a.subtract(b)
 
 
@@ -392,7 +395,7 @@ def cells_missing_count(spark, sf_dir):
 
 _DATES = "DATE '2024-01-01' AS \"start\", DATE '2024-02-01' AS \"end\""
 _COVER = f"""WITH {_AOI_CTE}, past AS (SELECT floor(x0 / 50000) * 50000 AS x0, floor(y0 / 50000) * 50000 AS y0, floor(x0 / 50000) * 50000 + 60000 AS x1, floor(y0 / 50000) * 50000 + 60000 AS y1,
-  aoi % 2 = 0 AS early FROM ext WHERE aoi % 3 = 0)
+  aoi % 2 = 0 AS early FROM ext)
 SELECT aoi FROM ext r WHERE EXISTS (SELECT 1 FROM past s WHERE early AND s.x0 <= r.x0 AND s.y0 <= r.y0 AND s.x1 >= r.x1 AND s.y1 >= r.y1)"""
 
 
@@ -403,7 +406,7 @@ def search_covered(spark, sf_dir):
     asked = e.select("aoi", "x0", "y0", "x1", "y1", F.lit(START).alias("start"), F.lit(END).alias("end"))
     low = {c: F.floor(F.col(c) / 50_000).cast("double") * 50_000 for c in ("x0", "y0")}
     begin = F.when(F.col("aoi") % 2 == 0, F.lit(START)).otherwise(F.lit(END))
-    past = e.filter("aoi % 3 = 0").select(low["x0"].alias("x0"), low["y0"].alias("y0"), (low["x0"] + 60_000).alias("x1"), (low["y0"] + 60_000).alias("y1"), begin.alias("start"), F.lit(END).alias("end"))
+    past = e.select(low["x0"].alias("x0"), low["y0"].alias("y0"), (low["x0"] + 60_000).alias("x1"), (low["y0"] + 60_000).alias("y1"), begin.alias("start"), F.lit(END).alias("end"))
     return ledger.covered(asked, past).select("aoi")
 
 
@@ -583,3 +586,40 @@ def cloud_corr(spark, sf_dir):
 def frame_rank(spark, sf_dir):
     """The ten clearest usable frames."""
     return _frames(spark, sf_dir).filter("valid_frac >= 0.2").orderBy("cloud_frac", "solar_day").limit(10).select("solar_day", "cloud_frac")
+
+
+@query("clean_frames", _FULL + " SELECT solar_day, round_even(valid_fraction, 4) AS valid_fraction, round_even(cloud_fraction, 4) AS cloud_fraction, round_even(snow_fraction, 4) AS snow_fraction FROM kept")
+def clean_frames(spark, sf_dir):
+    """The coordinates of each frame that cleaning keeps."""
+    return fr.clean(views.dense(spark, sf_dir), _OPTIONS).frames
+
+
+@query("gate_counts", _FRAMES + """ SELECT count(*) FILTER (valid_frac >= 0.2 AND cloud_frac <= 0.5) AS kept, count(*) FILTER (NOT (valid_frac >= 0.2 AND cloud_frac <= 0.5)) AS dropped,
+ count(*) FILTER (valid_frac = 0) AS off_swath, count(*) FILTER (valid_frac >= 0.2 AND cloud_frac < 0.02) AS clear FROM fr""", days=())
+def gate_counts(spark, sf_dir):
+    """Frames that the gates keep and drop, those without valid pixels, and the kept ones that are clear."""
+    keep = (F.col("valid_frac") >= 0.2) & (F.col("cloud_frac") <= 0.5)
+    counts = {"kept": keep, "dropped": ~keep, "off_swath": F.col("valid_frac") == 0, "clear": keep & (F.col("cloud_frac") < 0.02)}
+    return _frames(spark, sf_dir).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+_CANDIDATES = f", stat AS ({_STATS_SQL} FROM dense GROUP BY solar_day) SELECT prof.* FROM prof SEMI JOIN (SELECT solar_day FROM stat WHERE cloud_frac BETWEEN 0.03 AND 0.7 AND valid_frac > 0.5) USING (solar_day)"
+
+
+@query("ring_candidates", _PROFILE + _CANDIDATES)
+def ring_candidates(spark, sf_dir):
+    """Ring profiles of the frames with some cloud but not too much: only these are searched for rings."""
+    some = frame_stats(spark, sf_dir).filter(F.col("cloud_frac").between(0.03, 0.7) & (F.col("valid_frac") > 0.5)).select("solar_day")
+    p = fr.ring_profiles(views.dense(spark, sf_dir).join(some, "solar_day", "left_semi"), _SHOWN, 4, 20, 5)
+    return p.select("solar_day", "distance_px", "n_pixels", *[F.round(b, 6).alias(b) for b in _SHOWN])
+
+
+@query("ring_steps", _PROFILE + " SELECT DISTINCT distance_px FROM prof ORDER BY distance_px", days=())
+def ring_steps(spark, sf_dir):
+    return ring_profile(spark, sf_dir).select("distance_px").distinct().orderBy("distance_px")
+
+
+@query("ndvi_peak", f"SELECT max(p75) AS peak FROM ({ORACLE_SQL['ndvi_series']})", days=())
+def ndvi_peak(spark, sf_dir):
+    """The largest upper quartile of all frames."""
+    return ndvi_series(spark, sf_dir).agg(F.max("p75").alias("peak"))

@@ -11,7 +11,7 @@ DAY = dt.date(2024, 1, 1)
 SCHEMA = "solar_day date, row int, col int, oa_fmask short, nbart_red short"
 
 
-def plane(spark, codes, day=DAY, red=1234):
+def plane(spark, codes, day=DAY, red=801):
     codes = np.asarray(codes)
     return spark.createDataFrame([(day, r, c, int(codes[r, c]), red) for r in range(codes.shape[0]) for c in range(codes.shape[1])], SCHEMA)
 
@@ -43,19 +43,21 @@ def test_clean_drops_classes_and_keeps_values(spark):
     codes = np.ones((10, 10), int)
     out = clean(spark, codes)
     assert out.pixels.columns == ["solar_day", "row", "col", "nbart_red"]
-    assert {r.nbart_red for r in out.pixels.collect()} == {1234.0}
+    assert {r.nbart_red for r in out.pixels.collect()} == {801.0}
     assert out.attrs["frame_gate_classes"] == [2, 3] and out.attrs["masked_fmask_classes"] == [2, 3, 4]
 
 
-def test_frame_gates(spark):
-    cloudy, sliver, margin = np.ones((10, 10), int), np.zeros((10, 10), int), np.zeros((10, 10), int)
-    cloudy[:, :6], sliver[:, 0], margin[:, :4] = 2, 1, 1
-    assert clean(spark, cloudy, buffer_px=0).frames.collect() == []
-    assert clean(spark, sliver).frames.collect() == []
-    kept = clean(spark, margin).frames.first()
-    assert (kept.valid_fraction, kept.cloud_fraction) == (0.4, 0.0)
-    nothing = fr.frame_fractions(fr.mask_columns(plane(spark, np.zeros((4, 4), int)), CleanOptions())).first()
-    assert (nothing.n_valid, nothing.valid_fraction, nothing.cloud_fraction, nothing.snow_fraction) == (0, 0.0, 1.0, 0.0)
+@pytest.mark.parametrize(
+    ("valid", "bad", "stays"),
+    [(20, 0, True), (19, 0, False), (100, 50, True), (100, 51, False), (64, 32, True), (64, 33, False), (0, 0, False)],
+)
+def test_frame_gates(spark, valid, bad, stays):
+    """Of 100 pixels so many are valid and so many of these bad; both limits are themselves allowed."""
+    codes = np.repeat([2, 1, 0], [bad, valid - bad, 100 - valid]).reshape(5, 20)
+    got = clean(spark, codes, buffer_px=0).frames.collect()
+    assert [(r.valid_fraction, r.cloud_fraction) for r in got] == [(valid / 100, round(bad / valid, 4))] * stays if valid else got == []
+    shares = fr.frame_fractions(fr.mask_columns(plane(spark, codes), CleanOptions(buffer_px=0))).first()
+    assert (shares.n_valid, shares.snow_fraction) == (valid, 0.0) and (valid or shares.cloud_fraction == 1.0)
 
 
 def test_gate_uses_unrounded_fractions(spark):
@@ -69,7 +71,7 @@ def test_buffer_masks_neighbours(spark):
     codes = np.ones((20, 20), int)
     codes[10, 10] = 2
     values = {(r.row, r.col): r.nbart_red for r in clean(spark, codes, buffer_px=3).pixels.collect()}
-    assert values[10, 12] is None and values[10, 13] is None and values[10, 14] == 1234.0 and values[13, 12] == 1234.0
+    assert values[10, 12] is None and values[10, 13] is None and values[10, 14] == 801.0 and values[13, 12] == 801.0
 
 
 def test_snow_and_water(spark):
@@ -77,9 +79,9 @@ def test_snow_and_water(spark):
     codes[0] = 5
     out = clean(spark, codes, buffer_px=0)
     assert out.frames.first().snow_fraction == 0.75
-    assert {r.row: r.nbart_red for r in out.pixels.collect()} == {0: 1234.0, 1: None, 2: None, 3: None}
+    assert {r.row: r.nbart_red for r in out.pixels.collect()} == {0: 801.0, 1: None, 2: None, 3: None}
     wet = clean(spark, codes, buffer_px=0, mask_water=True, mask_snow=False)
-    assert {r.row: r.nbart_red for r in wet.pixels.collect()} == {0: None, 1: 1234.0, 2: 1234.0, 3: 1234.0}
+    assert {r.row: r.nbart_red for r in wet.pixels.collect()} == {0: None, 1: 801.0, 2: 801.0, 3: 801.0}
 
 
 def test_nodata_and_no_frames(spark):

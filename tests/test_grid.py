@@ -1,30 +1,38 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pixelloom.functions import grid
 
-BOX = (148.36265, -33.52606, 148.38265, -33.50606)
-#: Boxes and their windows, worked out by hand from the published formulae.
-GOLDEN = [
-    (BOX, (1136640, 1137152, 3168256, 3168768)),
-    ((145.920, -17.940, 145.940, -17.920), (957440, 957952, 3144704, 3145216)),
-    ((145.545, -42.090, 145.565, -42.070), (1223168, 1223680, 3141120, 3141632)),
-    ((133.860, -23.720, 133.880, -23.700), (1026560, 1027072, 3028480, 3028736)),
-    ((150.740, -35.060, 150.760, -35.040), (1152768, 1153280, 3191296, 3191808)),
-]
+#: Boxes on both hemispheres, over the equator and the zero meridian.
+BOXES = [(12.4, 41.85, 12.55, 41.95), (-0.2, -0.15, 0.1, 0.2), (-70.7, -33.5, -70.6, -33.4), (77.1, 28.5, 77.101, 28.501), (-152.0, 61.0, -151.9, 61.1)]
 
 
-@pytest.mark.parametrize(("box", "window"), GOLDEN)
-def test_golden_windows(box, window):
-    assert tuple(grid.window_of(box)) == window
+def boxes():
+    return st.tuples(st.floats(-170, 169), st.floats(-80, 79), st.floats(0.001, 0.5), st.floats(0.001, 0.5)).map(lambda b: (b[0], b[1], b[0] + b[2], b[1] + b[3]))
 
 
-def test_known_extent():
-    assert math.isclose(grid.project(180, 0)[0], 17_367_530.445, abs_tol=0.01)
-    assert math.isclose(grid.project(0, 85.0445)[1], 7_314_540.09, abs_tol=0.5)
+def area(south, north, steps=20_000):
+    """Square metres of a degree of longitude between two latitudes of the ellipsoid, by summation."""
+    lat = np.radians(np.linspace(south, north, steps + 1))
+    mid = (lat[1:] + lat[:-1]) / 2
+    w = 1 - grid.E2 * np.sin(mid) ** 2
+    return float((grid.A**2 * (1 - grid.E2) * np.cos(mid) / w**2).sum() * (lat[1] - lat[0]) * math.radians(1))
+
+
+@pytest.mark.parametrize(("south", "north"), [(0, 1), (-45, -44), (29, 31), (60, 75)])
+def test_areas_are_kept(south, north):
+    (x0, y0), (x1, y1) = grid.project(5, south), grid.project(6, north)
+    assert math.isclose((x1 - x0) * (y1 - y0), area(south, north), rel_tol=1e-6)
+
+
+def test_true_scale_at_the_standard_parallel():
+    radius = grid.A / math.sqrt(1 - grid.E2 * 0.25) * math.cos(math.radians(30))
+    assert math.isclose(grid.project(1, 30)[0], radius * math.radians(1), rel_tol=1e-12)
+    assert grid.project(0, 0) == (0, 0) and math.isclose(grid.project(40, -20)[1], -grid.project(40, 20)[1])
 
 
 @settings(max_examples=100, deadline=None)
@@ -34,20 +42,22 @@ def test_round_trip(lon, lat):
     assert math.isclose(x, lon, abs_tol=1e-9) and math.isclose(y, lat, abs_tol=1e-6)
 
 
-def test_window_contains_box_and_is_aligned():
-    w = grid.window_of(BOX)
+@settings(max_examples=200, deadline=None)
+@given(boxes())
+def test_windows_are_the_smallest_of_whole_chunks(box):
+    w, step = grid.window_of(box), grid.RES * grid.CHUNK
     x0, y0, x1, y1 = grid.extent_of(w)
-    west, south = grid.project(*BOX[:2])
-    east, north = grid.project(*BOX[2:])
-    assert x0 <= west and y0 <= south and x1 >= east and y1 >= north
-    assert all(k % grid.CHUNK == 0 for k in w)
-    west, south, east, north = grid.bbox_of(w)
-    assert west <= BOX[0] and south <= BOX[1] and east >= BOX[2] and north >= BOX[3]
+    (west, south), (east, north) = grid.project(*box[:2]), grid.project(*box[2:])
+    assert all(-1e-6 <= gap < step for gap in (west - x0, x1 - east, south - y0, y1 - north))  # metres
+    assert len(grid.chunks_of(w)) == (w.row1 - w.row0) * (w.col1 - w.col0) / grid.CHUNK**2
+    assert {grid.CHUNK * cy for cy, _ in grid.chunks_of(w)} == set(range(w.row0, w.row1, grid.CHUNK))
 
 
-def test_shifted_box_shares_chunks():
-    shifted = (BOX[0] + 0.01, BOX[1], BOX[2] + 0.01, BOX[3])
-    assert set(grid.chunks_of(grid.window_of(shifted))) & set(grid.chunks_of(grid.window_of(BOX)))
+@settings(max_examples=50, deadline=None)
+@given(boxes(), st.floats(0, 1), st.floats(0, 1))
+def test_parts_of_a_box_need_no_other_chunks(box, a, b):
+    part = (box[0] + (box[2] - box[0]) * min(a, b) / 2, box[1], box[2], box[3] - (box[3] - box[1]) * max(a, b) / 2)
+    assert set(grid.chunks_of(grid.window_of(part))) <= set(grid.chunks_of(grid.window_of(box)))
 
 
 @pytest.mark.parametrize("box", [(10, 0, 9, 1), (10, 1, 11, 1), (10, 80, 11, 89), (10, -89, 11, -80)])
@@ -57,11 +67,10 @@ def test_boxes_off_the_grid(box):
 
 
 def test_columns_agree_with_numbers(spark):
-    boxes = [b for b, _ in GOLDEN]
-    df = spark.createDataFrame(boxes, "west double, south double, east double, north double")
-    rows = grid.with_window(df).collect()
-    assert [(r.row0, r.row1, r.col0, r.col1) for r in rows] == [w for _, w in GOLDEN]
+    df = spark.createDataFrame(BOXES, "west double, south double, east double, north double")
+    windows = [grid.window_of(b) for b in BOXES]
+    assert [(r.row0, r.row1, r.col0, r.col1) for r in grid.with_window(df).collect()] == windows
     chunks = grid.with_chunks(grid.with_window(df.limit(1))).select("cy", "cx").collect()
-    assert [tuple(r) for r in chunks] == grid.chunks_of(grid.Window(*GOLDEN[0][1]))
+    assert [tuple(r) for r in chunks] == grid.chunks_of(windows[0])
     empty = spark.createDataFrame([(512, 512, 0, 256)], "row0 int, row1 int, col0 int, col1 int")
     assert grid.with_chunks(empty).collect() == []
