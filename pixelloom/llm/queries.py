@@ -17,4 +17,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_near_duplicates": near_dup.OP8_SQL,
 }
