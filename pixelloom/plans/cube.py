@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import SENSOR, CleanOptions, SensorConfig, StorePaths
 from ..functions import grid
 from ..functions.indices import add_indices
-from ..operators.frames import CubeFrame, clean, densify
+from ..operators.frames import CubeFrame, clean
 from ..sources import store
 from ..sources.ledger import CELL, Ledger, done_cells, missing_cells, scenes_between
 from ..sources.pixel_source import PixelSource
@@ -34,7 +34,10 @@ class Cube:
         self.ledger = Ledger(spark, self.paths)
 
     def _wanted(self, window, start: dt.date, end: dt.date) -> DataFrame:
-        days = scenes_between(self.ledger.scenes(), start, end, self.sensor.max_cloud_cover).select("solar_day").distinct()
+        return self._chunks(scenes_between(self.ledger.scenes(), start, end, self.sensor.max_cloud_cover).select("solar_day").distinct(), window)
+
+    def _chunks(self, days: DataFrame, window) -> DataFrame:
+        """Every chunk of the window on each day."""
         c = self.chunk
         rows, cols = F.explode(F.sequence(F.lit(window[0] // c), F.lit(window[1] // c - 1))), F.explode(F.sequence(F.lit(window[2] // c), F.lit(window[3] // c - 1)))
         return days.select("solar_day", rows.alias("cy")).select("*", cols.alias("cx"))
@@ -70,9 +73,10 @@ class Cube:
         stored = done_cells(self._wanted(window, start, end), self.ledger.cells()).select("solar_day").distinct()
         days = sorted(r[0] for r in eligible.join(stored, "solar_day", "left_semi").collect())  # one row a day of the request
         cells = store.read_cells(self.spark, self.paths, window, days, bands, self.sensor, self.chunk)
-        pixels = store.to_pixels(cells, bands, self.sensor, self.chunk)
-        frames = cells.select("solar_day").distinct()
-        return densify(pixels, frames, tuple(window), replace(self.sensor, bands=tuple(bands)))
+        # stored cells are whole chunks, so gaps are filled by cells of no bands: keys are joined, pixels are not
+        frames = self._chunks(cells.select("solar_day").distinct(), window)
+        gaps = frames.join(cells.select(*CELL), CELL, "left_anti")
+        return store.to_pixels(cells.unionByName(gaps, allowMissingColumns=True), bands, self.sensor, self.chunk)
 
     def get(self, bbox, start: dt.date, end: dt.date, cleaned: bool = False, indices: tuple[str, ...] = (), fill: bool = True, **options) -> CubeFrame:
         """Fills, reads and, if asked, cleans the window; indices imply cleaning."""

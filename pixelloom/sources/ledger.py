@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import StorePaths
-from ..functions.grid import chunks_of
 
 SCHEMAS = {
     "scenes": "item_id string, solar_day date, cloud_cover double, item string, seen_at timestamp",
@@ -103,9 +102,3 @@ class Ledger:
         x0, y0, x1, y1 = map(float, extent)
         inside = f"x0 <= {x0} AND y0 <= {y0} AND x1 >= {x1} AND y1 >= {y1} AND start <= DATE'{start}' AND end >= DATE'{end}'"
         return not self.table("searches").filter(inside).limit(1).isEmpty()
-
-    def wanted(self, window, start, end, max_cloud: float) -> DataFrame:
-        """Every cell of the window on every eligible day; the chunks are literals of the request."""
-        days = scenes_between(self.scenes(), start, end, max_cloud).select("solar_day").distinct()
-        chunks = F.array(*[F.struct(F.lit(cy).alias("cy"), F.lit(cx).alias("cx")) for cy, cx in chunks_of(window)])
-        return days.select("solar_day", F.explode(chunks).alias("c")).select("solar_day", "c.cy", "c.cx")

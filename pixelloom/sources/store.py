@@ -36,7 +36,8 @@ def write_cells(cells: DataFrame, paths: StorePaths, sensor: SensorConfig = SENS
     lacking = {b: F.lit(None).cast("array<short>") for b in sensor.bands if b not in rows.columns}
     rows = rows.withColumns(lacking) if lacking else rows
     rows = rows.select("cy", "cx", "written_at", *sensor.bands, "solar_day")
-    rows.repartition("solar_day").sortWithinPartitions("solar_day", "cy", "cx").write.mode("append").partitionBy("solar_day").parquet(paths.cells_data)
+    # by ranges, so that a day of many cells is written by many tasks and chunk statistics still prune
+    rows.repartitionByRange("solar_day", "cy", "cx").sortWithinPartitions("solar_day", "cy", "cx").write.mode("append").partitionBy("solar_day").parquet(paths.cells_data)
 
 
 def read_cells(spark: SparkSession, paths: StorePaths, window, days: list, bands: list[str], sensor: SensorConfig = SENSOR, chunk: int = CHUNK) -> DataFrame:
