@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..config import SENSOR, CleanOptions, SensorConfig
 
 KEYS = ["solar_day", "row", "col"]
+#: Frames are dilated in tiles of so many pixels a side, each with a margin from its neighbours.
+TILE = 512
+#: Rows of a grid are listed in blocks of this many.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -34,8 +38,12 @@ def collapse_max(observations: DataFrame, sensor: SensorConfig = SENSOR) -> Data
 
 def grid_of(days: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
     """Every pixel of the window on every day; the window is a pair of literals, so nothing is shuffled."""
-    rows, cols = F.explode(F.sequence(F.lit(row0), F.lit(row1 - 1))), F.explode(F.sequence(F.lit(col0), F.lit(col1 - 1)))
-    return days.select("solar_day").select("*", rows.alias("row")).select("*", cols.alias("col"))
+    if row0 >= row1 or col0 >= col1:
+        return days.select("solar_day", F.lit(0).alias("row"), F.lit(0).alias("col")).limit(0)
+    blocks = F.explode(F.sequence(F.lit(row0), F.lit(row1 - 1), F.lit(BLOCK))).alias("__from")
+    rows = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + (BLOCK - 1), F.lit(row1 - 1)))).alias("row")
+    cols = F.explode(F.sequence(F.lit(col0), F.lit(col1 - 1))).alias("col")
+    return days.select("solar_day", blocks).select("solar_day", rows).select("*", cols)
 
 
 def densify(pixels: DataFrame, days: DataFrame, window: tuple[int, int, int, int], sensor: SensorConfig = SENSOR) -> DataFrame:
@@ -59,17 +67,24 @@ def half_widths(radius: int) -> list[int]:
     return [math.isqrt(radius * radius - k * k) for k in range(radius + 1)]
 
 
-def dilate_rows(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad") -> DataFrame:
-    """Dilation by a disk in two window passes over dense frames: along rows, then across them."""
-    along = Window.partitionBy("solar_day", "row").orderBy("col")
-    across = Window.partitionBy("solar_day", "col").orderBy("row")
-    flat = pixels.withColumn("__b", bad.cast("byte"))
+def _tiled(pixels: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Each pixel once for every tile (__ty, __tx) that it is part of or lies within radius of; __own marks the first kind."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+    spread = pixels.select("*", near("row").alias("__ty")).select("*", near("col").alias("__tx"))
+    return spread.withColumn("__own", (F.floor(F.col("row") / tile) == F.col("__ty")) & (F.floor(F.col("col") / tile) == F.col("__tx")))
+
+
+def dilate_rows(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad", tile: int = TILE) -> DataFrame:
+    """Dilation by a disk in two window passes over tiles of dense frames: along rows, then across them."""
+    along = Window.partitionBy("solar_day", "__ty", "__tx", "row").orderBy("col")
+    across = Window.partitionBy("solar_day", "__ty", "__tx", "col").orderBy("row")
+    flat = _tiled(pixels.withColumn("__b", bad.cast("byte")), radius, tile)
     flat = flat.withColumns({f"__h{k}": F.max("__b").over(along.rowsBetween(-w, w)) for k, w in enumerate(half_widths(radius))})
     hits = [F.col("__h0")]
     for k in range(1, radius + 1):
         hits += [F.coalesce(F.lag(f"__h{k}", k).over(across), F.lit(0).cast("byte")), F.coalesce(F.lead(f"__h{k}", k).over(across), F.lit(0).cast("byte"))]
-    out = flat.withColumn(name, (F.greatest(*hits) if len(hits) > 1 else hits[0]) == 1)
-    return out.drop("__b", *[f"__h{k}" for k in range(radius + 1)])
+    out = flat.withColumn(name, (F.greatest(*hits) if len(hits) > 1 else hits[0]) == 1).filter("__own")
+    return out.drop("__b", "__ty", "__tx", "__own", *[f"__h{k}" for k in range(radius + 1)])
 
 
 def _offsets(radius: int) -> Column:
@@ -91,13 +106,13 @@ def dilate_offsets(pixels: DataFrame, bad: Column, radius: int, name: str = "nea
     return pixels.join(near, KEYS, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def dilate_kernel(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad") -> DataFrame:
-    """Dilation of whole frames as arrays, one Arrow group a frame; a frame must fit a task."""
+def dilate_kernel(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad", tile: int = TILE) -> DataFrame:
+    """Dilation of tiles as arrays, one Arrow group a tile with its margin."""
     import numpy as np
 
     widths = half_widths(radius)
 
-    def frame(pdf):
+    def plane_of(pdf):
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         r, c = r - r.min(), c - c.min()
         plane = np.zeros((r.max() + 1 + 2 * radius, c.max() + 1 + 2 * radius), bool)
@@ -106,9 +121,10 @@ def dilate_kernel(pixels: DataFrame, bad: Column, radius: int, name: str = "near
         for dy in range(-radius, radius + 1):
             for dx in range(-widths[abs(dy)], widths[abs(dy)] + 1):
                 out |= np.roll(np.roll(plane, dy, 0), dx, 1)
-        return pdf[KEYS].assign(**{name: out[r + radius, c + radius]})
+        return pdf[KEYS].assign(**{name: out[r + radius, c + radius]})[pdf["__own"].to_numpy()]
 
-    flags = pixels.select(*KEYS, bad.alias("__b")).groupBy("solar_day").applyInPandas(frame, f"solar_day date, row int, col int, {name} boolean")
+    keyed = _tiled(pixels.select(*KEYS, bad.alias("__b")), radius, tile)
+    flags = keyed.groupBy("solar_day", "__ty", "__tx").applyInPandas(plane_of, f"solar_day date, row int, col int, {name} boolean")
     return pixels.join(flags, KEYS)
 
 

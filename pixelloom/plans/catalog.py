@@ -127,7 +127,7 @@ def densify(spark, sf_dir):
 @query("missing_band", f"WITH {views.DENSE_CTE} SELECT {_D}, oa_fmask, CAST(-999 AS SMALLINT) AS nbart_red FROM dense")
 def missing_band(spark, sf_dir):
     some = views.pixels(spark, sf_dir).select(*KEYS, "oa_fmask")
-    return fr.densify(some, views.days(spark, sf_dir), views.WINDOW, replace(SENSOR, bands=("oa_fmask", "nbart_red")))
+    return fr.densify(some, views.days(spark, sf_dir), views.window(spark, sf_dir), replace(SENSOR, bands=("oa_fmask", "nbart_red")))
 
 
 _STATS_SQL = f"""SELECT solar_day, count(*) FILTER ({_VALID}) / CAST(count(*) AS DOUBLE) AS valid_frac,
@@ -417,15 +417,15 @@ def search_covered(spark, sf_dir):
 # store -------------------------------------------------------------------------------------------
 
 
-@query("window_read", f'WITH {views.DENSE_CTE} SELECT {_D}, nbart_red, nbart_nir_1 FROM dense WHERE "row" BETWEEN 8 AND 15 AND "col" BETWEEN 0 AND 7 AND solar_day BETWEEN DATE \'{START}\' AND DATE \'{END}\'')
+@query("window_read", f'WITH {views.DENSE_CTE} SELECT {_D}, nbart_red, nbart_nir_1 FROM dense WHERE "col" BETWEEN 8 AND 15 AND solar_day BETWEEN DATE \'{START}\' AND DATE \'{END}\'')
 def window_read(spark, sf_dir):
-    """Two bands of a window, read back from cells."""
+    """Two bands of the swath's right half, read back from cells."""
     from ..config import StorePaths
 
-    paths = StorePaths(_folder(spark, "cells"))
+    paths, (row0, row1, _, col1) = StorePaths(_folder(spark, "cells")), views.window(spark, sf_dir)
     store.write_cells(store.from_pixels(views.dense(spark, sf_dir), list(SENSOR.bands), _C), paths)
     days = sorted(r[0] for r in views.days(spark, sf_dir).filter(F.col("solar_day").between(F.lit(START), F.lit(END))).collect())
-    cells = store.read_cells(spark, paths, (8, 16, 0, 8), days, ["nbart_red", "nbart_nir_1"], chunk=_C)
+    cells = store.read_cells(spark, paths, (row0, row1, col1 - _C, col1), days, ["nbart_red", "nbart_nir_1"], chunk=_C)
     return store.to_pixels(cells, ["nbart_red", "nbart_nir_1"], chunk=_C)
 
 
@@ -446,7 +446,8 @@ def _cube(spark, sf_dir) -> Cube:
     """A cube over the observations; its scenes are one a day of theirs."""
     seen = views.observations(spark, sf_dir)
     daily = seen.select(F.concat(F.lit("D"), F.col("solar_day").cast("string")).alias("item_id"), F.col("solar_day").cast("timestamp_ntz").alias("ts"), F.lit(0.0).alias("lon"), F.lit(None).cast("double").alias("cloud_cover")).distinct()
-    return Cube(spark, _folder(spark, "cube"), TableSource(daily, seen, _C), replace(SENSOR, screen_cloud_fraction=SCREEN), chunk=_C, window_of=lambda _: grid.Window(*views.WINDOW))
+    swath = grid.Window(*views.window(spark, sf_dir))
+    return Cube(spark, _folder(spark, "cube"), TableSource(daily, seen, _C), replace(SENSOR, screen_cloud_fraction=SCREEN), chunk=_C, window_of=lambda _: swath)
 
 
 _INSIDE = f"solar_day BETWEEN DATE '{START}' AND DATE '{END}'"
@@ -511,10 +512,9 @@ def rgb_stretch(spark, sf_dir):
     return views.pixels(spark, sf_dir).select(*KEYS, *[F.coalesce(c, F.lit(0.93)).alias(b) for b, c in shown.items()])
 
 
-_RINGS = f"""WITH {views.DENSE_CTE}, rings AS (SELECT d.solar_day, d."row", d."col", any_value(d.nbart_blue) AS nbart_blue, any_value(d.nbart_nir_1) AS nbart_nir_1,
-  CAST(ceil(sqrt(min((d."row" - b."row") * (d."row" - b."row") + (d."col" - b."col") * (d."col" - b."col"))) - 1e-12) AS INT) AS distance
-  FROM dense d LEFT JOIN dense b ON d.solar_day = b.solar_day AND b.oa_fmask IN (2, 3) AND (d."row" - b."row") * (d."row" - b."row") + (d."col" - b."col") * (d."col" - b."col") <= 16
-  WHERE d.oa_fmask = 1 GROUP BY d.solar_day, d."row", d."col")"""
+_RINGS = f"""WITH {views.DENSE_CTE}, steps AS (SELECT i, j, ceil(sqrt(i * i + j * j) - 1e-12) AS d FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE i * i + j * j <= 16),
+  reached AS (SELECT solar_day, "row" + CAST(i AS INT) AS "row", "col" + CAST(j AS INT) AS "col", CAST(min(d) AS INT) AS distance FROM dense, steps WHERE oa_fmask IN (2, 3) GROUP BY ALL),
+  rings AS (SELECT solar_day, "row", "col", nbart_blue, nbart_nir_1, distance FROM dense LEFT JOIN reached USING (solar_day, "row", "col") WHERE oa_fmask = 1)"""
 _PROFILE = _RINGS + """, far AS (SELECT solar_day, count(*) AS n, median(nbart_blue) AS fb, median(nbart_nir_1) AS fn FROM rings WHERE distance IS NULL GROUP BY solar_day HAVING count(*) >= 20),
  prof AS (SELECT solar_day, distance AS distance_px, count(*) AS n_pixels, round(median(nbart_blue) / any_value(fb), 6) AS nbart_blue, round(median(nbart_nir_1) / any_value(fn), 6) AS nbart_nir_1
   FROM rings JOIN far USING (solar_day) WHERE distance IS NOT NULL AND fb > 0 AND fn > 0 GROUP BY solar_day, distance HAVING count(*) >= 5)"""

@@ -82,11 +82,11 @@ class Cube:
         """Fills, reads and, if asked, cleans the window; indices imply cleaning."""
         if fill:
             self.fill(bbox, start, end)
-        pixels = self.read(bbox, start, end)
+        pixels, stamp = self.read(bbox, start, end), {"read_at": dt.datetime.now(dt.UTC).isoformat()}
         if not (cleaned or indices):
-            return CubeFrame(pixels, pixels.select("solar_day").distinct(), {"crs": self.sensor.crs})
+            return CubeFrame(pixels, pixels.select("solar_day").distinct(), {"crs": self.sensor.crs, **stamp})
         out = clean(pixels, CleanOptions(**options), self.sensor)
-        return replace(out, pixels=add_indices(out.pixels, list(indices), self.sensor.band_nodata))
+        return replace(out, pixels=add_indices(out.pixels, list(indices), self.sensor.band_nodata), attrs={**out.attrs, **stamp})
 
     def fill_query(self, query) -> int:
         """As fill, for an object with bbox, start and end."""

@@ -1,7 +1,8 @@
 """The test tables read as raster tables, for Spark and, as CTEs, for DuckDB.
 
-Observations come from lineitem: a month is a day of the cube, order and part number give the pixel of a
-SIDE by SIDE window, and the keys give digital numbers and blobs of cloud, shadow, snow and water.
+Observations come from lineitem: a month is a day of the cube, and they lie on a swath of SIDE columns that
+runs on as long as orders do: ORDERS of them share a row, the part number gives the column. So pixels grow
+with lineitem, at about one row a pixel. The keys give digital numbers and blobs of cloud, shadow, snow and water.
 Scenes come from orders, boxes of interest from customer.
 """
 
@@ -15,14 +16,15 @@ from ..operators.frames import collapse_max, densify
 
 SIDE = 16
 CHUNK = 8
-WINDOW = (0, SIDE, 0, SIDE)
+ORDERS = 320
 _H = "(l_orderkey * 7919 + l_partkey * 31 + l_suppkey * 17 + l_linenumber * 13)"
 _M = "(year(l_shipdate) * 12 + month(l_shipdate))"
-_BLOB = f"(({_M} * 37 + (l_orderkey % {SIDE} - l_orderkey % 4) * 3 + (l_partkey % {SIDE} - l_partkey % 4) * 5) % 29)"
+_ROW = f"CAST((l_orderkey - l_orderkey % {ORDERS}) / {ORDERS} AS INT)"
+_BLOB = f"(({_M} * 37 + ({_ROW} - {_ROW} % 4) * 3 + (l_partkey % {SIDE} - l_partkey % 4) * 5) % 29)"
 
 OBS = {
     "solar_day": "CAST(date_trunc('month', l_shipdate) AS DATE)",
-    "row": f"CAST(l_orderkey % {SIDE} AS INT)",
+    "row": _ROW,
     "col": f"CAST(l_partkey % {SIDE} AS INT)",
     "oa_fmask": f"CAST(CASE WHEN {_H} % 11 = 0 THEN 0 WHEN {_BLOB} < 2 * ({_M} % 6) THEN 2 WHEN {_BLOB} < 2 * ({_M} % 6) + 2 THEN 3 WHEN {_BLOB} = 27 THEN 4 WHEN {_BLOB} = 28 THEN 5 ELSE 1 END AS SMALLINT)",
 }
@@ -69,8 +71,14 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("solar_day").distinct()
 
 
+def window(spark: SparkSession, sf_dir: str) -> tuple[int, int, int, int]:
+    """Whole chunks around all observations."""
+    last = observations(spark, sf_dir).agg(F.max("row")).first()[0]
+    return (0, 0 if last is None else (last // CHUNK + 1) * CHUNK, 0, SIDE)
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return densify(pixels(spark, sf_dir), days(spark, sf_dir), WINDOW)
+    return densify(pixels(spark, sf_dir), days(spark, sf_dir), window(spark, sf_dir))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +102,8 @@ OBS_CTE = _cte("obs", "lineitem", OBS)
 PIX_CTE = OBS_CTE + ', pix AS (SELECT solar_day, "row", "col", ' + ", ".join(f"max({b}) AS {b}" for b in _BANDS) + ' FROM obs GROUP BY solar_day, "row", "col")'
 DENSE_CTE = (
     PIX_CTE
-    + f', full_grid AS (SELECT solar_day, CAST(r AS INT) AS "row", CAST(c AS INT) AS "col" FROM (SELECT DISTINCT solar_day FROM obs), range(0, {SIDE}) t(r), range(0, {SIDE}) u(c))'
+    + f', swath AS (SELECT CAST(unnest(range(0, (max("row") // {CHUNK} + 1) * {CHUNK})) AS INT) AS "row" FROM obs)'
+    + f', full_grid AS (SELECT solar_day, "row", CAST(c AS INT) AS "col" FROM (SELECT DISTINCT solar_day FROM obs), swath, range(0, {SIDE}) u(c))'
     + ', dense AS (SELECT solar_day, "row", "col", '
     + ", ".join(f"CAST(coalesce({b}, {SENSOR.nodata(b)}) AS SMALLINT) AS {b}" for b in _BANDS)
     + ' FROM full_grid LEFT JOIN pix USING (solar_day, "row", "col"))'

@@ -35,6 +35,24 @@ def test_dilations_agree_with_the_disk(spark, kind, radius):
     assert all(r.near_bad == want[r.row, r.col] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["rows", "kernel"])
+def test_tiles_do_not_show(spark, kind):
+    """Disks cross the edges and corners of tiles; each pixel comes back once."""
+    codes = np.random.default_rng(7).choice([1, 2], (23, 19), p=[0.97, 0.03])
+    got = fr.DILATIONS[kind](plane(spark, codes), fr.is_bad(), 3, tile=8).collect()
+    want = disk_dilate(codes == 2, 3)
+    assert sorted((r.row, r.col) for r in got) == [(r, c) for r in range(23) for c in range(19)]
+    assert all(r.near_bad == want[r.row, r.col] for r in got)
+
+
+def test_grid_lists_rows_in_blocks(spark):
+    days = spark.createDataFrame([(DAY,)], "solar_day date")
+    got = fr.grid_of(days, 5, 5 + 2 * fr.BLOCK + 1, 0, 2)
+    assert got.count() == got.distinct().count() == 2 * (2 * fr.BLOCK + 1)
+    assert got.agg(F.min("row"), F.max("row")).first() == (5, 5 + 2 * fr.BLOCK)
+    assert fr.grid_of(days, 0, 0, 0, 2).count() == 0
+
+
 def clean(spark, codes, **options):
     return fr.clean(plane(spark, codes), CleanOptions(**options))
 
