@@ -97,3 +97,19 @@ def test_model_learns_from_every_decided_url(spark):
             assert all((a == b).all() for a, b in zip(got, want, strict=True))
         test = [u.encode() for u in urls if fold[u] == 4 and slow_rule(*slow_parts(u))[1] == verdict]
         assert ((model.score(test) >= model.threshold) == (verdict == "allow")).mean() > 0.99
+
+
+def test_joined_scores_are_those_of_the_model(spark):
+    """Beyond most_runs the counts stay in tables; a hot url, nulls, repeats and a long url included."""
+    urls = URLS + [f"http://h{k}.{'org' if k % 2 else 'com'}/{'en' if k % 2 else 'de'}/{k}" for k in range(150)] + ["http://zz.net/en/5" + "xy" * 20_000] + ["http://hot.net/de/"] * 200
+    pages = spark.createDataFrame([(k % 300, u, "x", 1) for k, u in enumerate(urls)], SCHEMA).repartition(5)
+    plain, joined = (sorted(((r.page_id, r.host, r.path, r.rule or "", r.verdict, r.score) for r in uf.filter_urls(pages, most_runs=n).collect())) for n in (uf.RUNS, 1))
+    assert [r[:5] for r in plain] == [r[:5] for r in joined] and len(plain) == len(urls)
+    assert [r[5] for r in joined] == pytest.approx([r[5] for r in plain], abs=1e-9)
+    assert {r[4] for r in plain} == {"allow", "block"}
+
+
+def test_many_runs_of_one_verdict(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/{k}", "x", 1) for k in range(50)] + [(50, "http://a.net/x", "x", 1)], SCHEMA)
+    got = uf.filter_urls(pages, most_runs=1).collect()
+    assert len(got) == 51 and {(r.verdict, r.score) for r in got} == {("allow", 0.0)}
