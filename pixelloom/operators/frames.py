@@ -18,7 +18,7 @@ from ..config import SENSOR, CleanOptions, SensorConfig
 KEYS = ["solar_day", "row", "col"]
 #: Frames are dilated in tiles of so many pixels a side, each with a margin from its neighbours.
 TILE = 512
-#: Rows of a grid are listed in blocks of this many.
+#: A task lists so many places of a grid or more, where there are more of them than tasks run at once.
 BLOCK = 4096
 
 
@@ -37,19 +37,21 @@ def collapse_max(observations: DataFrame, sensor: SensorConfig = SENSOR) -> Data
 
 
 def grid_of(days: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
-    """Every pixel of the window on every day; the window is a pair of literals, so nothing is shuffled."""
+    """Every pixel of the window on every day. Places are a range, dealt over tasks and of a size that Spark
+    knows, so a join does not take the grid for as small as the days that it repeats; only these are broadcast."""
     if row0 >= row1 or col0 >= col1:
         return days.select("solar_day", F.lit(0).alias("row"), F.lit(0).alias("col")).limit(0)
-    blocks = F.explode(F.sequence(F.lit(row0), F.lit(row1 - 1), F.lit(BLOCK))).alias("__from")
-    rows = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + (BLOCK - 1), F.lit(row1 - 1)))).alias("row")
-    cols = F.explode(F.sequence(F.lit(col0), F.lit(col1 - 1))).alias("col")
-    return days.select("solar_day", blocks).select("solar_day", rows).select("*", cols)
+    spark, wide, n = days.sparkSession, col1 - col0, (row1 - row0) * (col1 - col0)
+    tasks = min(n, max(spark.sparkContext.defaultParallelism, min(n // BLOCK, BLOCK)))
+    row, col = F.expr(f"CAST({row0} + id div {wide} AS INT)").alias("row"), F.expr(f"CAST({col0} + id % {wide} AS INT)").alias("col")
+    return spark.range(0, n, 1, tasks).select(row, col).crossJoin(F.broadcast(days.select("solar_day"))).select(*KEYS)
 
 
 def densify(pixels: DataFrame, days: DataFrame, window: tuple[int, int, int, int], sensor: SensorConfig = SENSOR) -> DataFrame:
     """The window in full; what was never sensed, bands that are missing altogether included, is nodata."""
     kept = pixels.select(*KEYS, *[b for b in sensor.bands if b in pixels.columns])
-    full = grid_of(days, *window).join(kept, KEYS, "left")
+    # the size of pixels is guessed from compressed files, so it must not decide whether the driver gets them all
+    full = grid_of(days, *window).join(kept.hint("merge"), KEYS, "left")
     gaps = {b: F.coalesce(F.col(b) if b in kept.columns else F.lit(None), F.lit(sensor.nodata(b))).cast("short") for b in sensor.bands}
     return full.select(*KEYS, *[c.alias(b) for b, c in gaps.items()])
 
@@ -103,7 +105,7 @@ def bad_distance(pixels: DataFrame, bad: Column, radius: int) -> DataFrame:
 def dilate_offsets(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad") -> DataFrame:
     """Dilation by spreading bad pixels and joining back; frames may be sparse."""
     near = bad_distance(pixels, bad, radius).select(*KEYS, F.lit(True).alias(name))
-    return pixels.join(near, KEYS, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return pixels.join(near.hint("merge"), KEYS, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def dilate_kernel(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad", tile: int = TILE) -> DataFrame:
@@ -125,7 +127,7 @@ def dilate_kernel(pixels: DataFrame, bad: Column, radius: int, name: str = "near
 
     keyed = _tiled(pixels.select(*KEYS, bad.alias("__b")), radius, tile)
     flags = keyed.groupBy("solar_day", "__ty", "__tx").applyInPandas(plane_of, f"solar_day date, row int, col int, {name} boolean")
-    return pixels.join(flags, KEYS)
+    return pixels.join(flags.hint("merge"), KEYS)
 
 
 DILATIONS = {"rows": dilate_rows, "offsets": dilate_offsets, "kernel": dilate_kernel}
@@ -205,7 +207,7 @@ CLEAR_LAND = 1
 def ring_distances(pixels: DataFrame, radius: int, sensor: SensorConfig = SENSOR) -> DataFrame:
     """Clear-land pixels with their ring distance to the nearest bad pixel; null beyond the radius."""
     clear = pixels.filter(F.col(sensor.class_band) == CLEAR_LAND)
-    return clear.join(bad_distance(pixels, is_bad(sensor), radius), KEYS, "left")
+    return clear.join(bad_distance(pixels, is_bad(sensor), radius).hint("merge"), KEYS, "left")
 
 
 def ring_profiles(pixels: DataFrame, bands: list[str], radius: int, least_far: int, least_ring: int, sensor: SensorConfig = SENSOR) -> DataFrame:

@@ -40,3 +40,16 @@ def test_entry(spark):
     got = entry.entry(spark)
     assert got.columns == ["solar_day", "med", "p25", "p75"]
     got.collect()
+
+
+@pytest.mark.parametrize("name", ["dilate_kernel"])
+def test_pixels_are_not_sent_to_the_driver(spark, name):
+    """A grid has far more rows than the days it is made of, whose size is all that Spark once knew of it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        got = catalog.QUERIES[name](spark, SF)
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "row#" in line]

@@ -141,3 +141,9 @@ def test_densify_fills_days_and_bands(spark):
     got = fr.densify(some, days, (0, 2, 0, 2))
     assert got.count() == 8 and got.filter("oa_fmask = 1").count() == 1
     assert got.select(F.max("nbart_red")).first()[0] == -999
+
+
+def test_grid_is_dealt_over_tasks(spark):
+    """However few days there are: one task would list every pixel of all frames."""
+    days = spark.createDataFrame([(DAY,)], "solar_day date").distinct().coalesce(1)
+    assert fr.grid_of(days, 0, 64, 0, 64).rdd.getNumPartitions() > 1
