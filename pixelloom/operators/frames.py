@@ -77,10 +77,12 @@ def _tiled(pixels: DataFrame, radius: int, tile: int) -> DataFrame:
 
 
 def dilate_rows(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad", tile: int = TILE) -> DataFrame:
-    """Dilation by a disk in two window passes over tiles of dense frames: along rows, then across them."""
+    """Dilation by a disk in two window passes over tiles of dense frames: along rows, then across them.
+
+    Tiles are dealt out once, which serves both passes."""
     along = Window.partitionBy("solar_day", "__ty", "__tx", "row").orderBy("col")
     across = Window.partitionBy("solar_day", "__ty", "__tx", "col").orderBy("row")
-    flat = _tiled(pixels.withColumn("__b", bad.cast("byte")), radius, tile)
+    flat = _tiled(pixels.withColumn("__b", bad.cast("byte")), radius, tile).repartition("solar_day", "__ty", "__tx")
     flat = flat.withColumns({f"__h{k}": F.max("__b").over(along.rowsBetween(-w, w)) for k, w in enumerate(half_widths(radius))})
     hits = [F.col("__h0")]
     for k in range(1, radius + 1):
@@ -160,15 +162,17 @@ def gate_frames(frames: DataFrame, options: CleanOptions) -> DataFrame:
 def clean(pixels: DataFrame, options: CleanOptions | None = None, sensor: SensorConfig = SENSOR, dilation: str = "rows") -> CubeFrame:
     """Masks pixels and drops unusable frames of a dense pixel table, whoever made it.
 
+    The gate needs class codes alone; bands are masked only in the frames that it keeps.
+
     The gate uses unrounded fractions; those in `frames` are rounded half-even to four places."""
     options = options or CleanOptions()
-    masked = mask_columns(pixels, options, sensor, dilation)
-    kept = gate_frames(frame_fractions(masked), options)
+    kept = gate_frames(frame_fractions(mask_columns(pixels, options, sensor, dilation)), options)
     shown = kept.select("solar_day", *[F.bround(c, 4).alias(c) for c in ("valid_fraction", "cloud_fraction", "snow_fraction")])
     bands = [b for b in sensor.reflectance if b in pixels.columns]
     values = [F.when(F.col("clear") & (F.col(b) != sensor.nodata(b)), F.col(b)).cast("float").alias(b) for b in bands]
-    # a semi-join on days: Spark broadcasts the days where their measured size allows it
-    out = masked.join(kept.select("solar_day"), "solar_day", "left_semi").select(*KEYS, *values)
+    # one row a frame at most: broadcast, or else pixels would be dealt out by their few days before these are known
+    usable = pixels.join(F.broadcast(kept.select("solar_day")), "solar_day", "left_semi")
+    out = mask_columns(usable, options, sensor, dilation).select(*KEYS, *values)
     classes = [sensor.cloud, sensor.shadow] + [sensor.snow] * options.mask_snow + [sensor.water] * options.mask_water
     attrs = {
         "max_cloud_fraction": options.max_cloud_fraction, "min_valid_fraction": options.min_valid_fraction, "cloud_buffer_px": options.buffer_px,

@@ -147,3 +147,11 @@ def test_grid_is_dealt_over_tasks(spark):
     """However few days there are: one task would list every pixel of all frames."""
     days = spark.createDataFrame([(DAY,)], "solar_day date").distinct().coalesce(1)
     assert fr.grid_of(days, 0, 64, 0, 64).rdd.getNumPartitions() > 1
+
+
+def test_clean_dilates_once_dealt_and_kept_frames_only(spark):
+    out = clean(spark, np.ones((4, 4), int)).pixels._jdf.queryExecution()
+    plan = out.optimizedPlan().toString()
+    assert 0 <= plan.index("Window") < plan.index("LeftSemi")
+    tiled = fr.dilate_rows(plane(spark, np.ones((4, 4), int)), fr.is_bad(), 2)._jdf.queryExecution().executedPlan().toString()
+    assert tiled.count("Exchange hashpartitioning") == 1
