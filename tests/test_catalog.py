@@ -42,7 +42,7 @@ def test_entry(spark):
     got.collect()
 
 
-@pytest.mark.parametrize("name", ["dilate_kernel", "far_field", "dilate_offsets", "profile_quantiles", "ring_candidates", "ring_distance", "ring_profile"])
+@pytest.mark.parametrize("name", ["dilate_kernel", "far_field", "dilate_offsets", "profile_quantiles", "ring_candidates", "ring_distance", "ring_profile", "ring_steps"])
 def test_pixels_are_not_sent_to_the_driver(spark, name):
     """A grid has far more rows than the days it is made of, whose size is all that Spark once knew of it."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
