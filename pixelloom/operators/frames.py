@@ -97,11 +97,16 @@ def _offsets(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(ring(dy, dx)).alias("d")) for dy, dx in disk])
 
 
-def bad_distance(pixels: DataFrame, bad: Column, radius: int) -> DataFrame:
-    """solar_day, row, col and ring distance (rounded up) of every place within radius of a bad pixel."""
-    spread = pixels.filter(bad).select("solar_day", "row", "col", F.explode(_offsets(radius)).alias("o"))
-    moved = spread.select("solar_day", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("col") + F.col("o.dx")).alias("col"), F.col("o.d").alias("distance"))
-    return moved.groupBy(*KEYS).agg(F.min("distance").alias("distance"))
+def bad_distance(pixels: DataFrame, bad: Column, radius: int, tile: int = TILE) -> DataFrame:
+    """solar_day, row, col and ring distance (rounded up) of every place within radius of a bad pixel.
+
+    Bad pixels are dealt out by tiles and spread within these, so that one row a place leaves a task and not one a pixel and offset."""
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: else few would be left, as few rows come in for each that is made
+    dealt = _tiled(pixels.filter(bad).select(*KEYS), radius, tile).repartition(tasks, "solar_day", "__ty", "__tx")
+    spread = dealt.select("solar_day", "__ty", "__tx", "row", "col", F.explode(_offsets(radius)).alias("o"))
+    moved = spread.select("solar_day", "__ty", "__tx", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("col") + F.col("o.dx")).alias("col"), F.col("o.d").alias("distance"))
+    own = moved.filter((F.floor(F.col("row") / tile) == F.col("__ty")) & (F.floor(F.col("col") / tile) == F.col("__tx")))
+    return own.groupBy("solar_day", "__ty", "__tx", "row", "col").agg(F.min("distance").alias("distance")).select(*KEYS, "distance")
 
 
 def dilate_offsets(pixels: DataFrame, bad: Column, radius: int, name: str = "near_bad") -> DataFrame:
@@ -219,11 +224,13 @@ def ring_profiles(pixels: DataFrame, bands: list[str], radius: int, least_far: i
 
     Frames with too small a far field or a median that is not positive, and small rings, are left out."""
     rings = ring_distances(pixels, radius, sensor)
-    far = rings.filter("distance IS NULL").groupBy("solar_day").agg(F.count(F.lit(1)).alias("__far"), *[F.median(b).alias(f"__{b}") for b in bands])
-    far = far.filter(F.col("__far") >= least_far).filter(reduce(lambda a, b: a & b, [F.col(f"__{b}") > 0 for b in bands]))
-    near = rings.filter("distance IS NOT NULL").groupBy("solar_day", F.col("distance").alias("distance_px"))
-    near = near.agg(F.count(F.lit(1)).alias("n_pixels"), *[F.median(b).alias(b) for b in bands]).filter(F.col("n_pixels") >= least_ring)
-    return near.join(far, "solar_day").select("solar_day", "distance_px", "n_pixels", *[(F.col(b) / F.col(f"__{b}")).alias(b) for b in bands])
+    # the far field is the ring without a distance: one pass over the pixels serves both
+    each = rings.groupBy("solar_day", F.col("distance").alias("distance_px")).agg(F.count(F.lit(1)).alias("n_pixels"), *[F.median(b).alias(b) for b in bands])
+    frame, is_far = Window.partitionBy("solar_day"), F.col("distance_px").isNull()
+    each = each.withColumns({f"__{c}": F.max(F.when(is_far, F.col(c))).over(frame) for c in ["n_pixels", *bands]})
+    fit = reduce(lambda a, b: a & b, [F.col(f"__{b}") > 0 for b in bands], F.col("__n_pixels") >= least_far)
+    near = each.filter(fit & ~is_far & (F.col("n_pixels") >= least_ring))
+    return near.select("solar_day", "distance_px", "n_pixels", *[(F.col(b) / F.col(f"__{b}")).alias(b) for b in bands])
 
 
 def gate_sweep(stats: DataFrame, steps: int = 50, least_valid: float = 0.2) -> DataFrame:

@@ -155,3 +155,29 @@ def test_clean_dilates_once_dealt_and_kept_frames_only(spark):
     assert 0 <= plan.index("Window") < plan.index("LeftSemi")
     tiled = fr.dilate_rows(plane(spark, np.ones((4, 4), int)), fr.is_bad(), 2)._jdf.queryExecution().executedPlan().toString()
     assert tiled.count("Exchange hashpartitioning") == 1
+
+
+def test_spreading_crosses_tiles(spark):
+    """Distances of sparse pixels, places below zero included, do not depend on the tiles in which they are spread."""
+    bad = [(0, 0), (7, 7), (8, 20), (30, 3)]
+    some = spark.createDataFrame([(DAY, r, c, 2, 801) for r, c in bad], SCHEMA)
+    got = fr.bad_distance(some, fr.is_bad(), 4, tile=8).collect()
+    near = lambda y, x: min((y - r) ** 2 + (x - c) ** 2 for r, c in bad)
+    want = {(y, x): int(np.ceil(np.sqrt(near(y, x)))) for y in range(-5, 36) for x in range(-5, 26) if near(y, x) <= 16}
+    assert len(got) == len(want) and {(r.row, r.col): r.distance for r in got} == want
+
+
+def test_bad_pixels_are_spread_after_they_are_dealt(spark):
+    """Before, a row for each bad pixel and offset was shuffled."""
+    plan = fr.bad_distance(plane(spark, np.ones((4, 4), int)), fr.is_bad(), 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("explode([[") < plan.index("Exchange")
+
+
+def test_ring_profiles_pass_once(spark):
+    """Far field and rings come from one pass over the pixels; a frame without bad pixels has no ring, and one without far field no profile."""
+    codes = np.ones((9, 9), int)
+    codes[4, 4] = 3
+    frames = plane(spark, codes).union(plane(spark, np.ones((9, 9), int), dt.date(2024, 1, 2))).union(plane(spark, codes[2:7, 2:7], dt.date(2024, 1, 3)))
+    got = fr.ring_profiles(frames, ["nbart_red"], 3, 20, 5)
+    assert got._jdf.queryExecution().executedPlan().toString().count("explode([[") == 1
+    assert sorted((r.solar_day, r.distance_px, r.n_pixels, r.nbart_red) for r in got.collect()) == [(DAY, 2, 8, 1.0), (DAY, 3, 16, 1.0)]
