@@ -614,7 +614,8 @@ _CANDIDATES = f", stat AS ({_STATS_SQL} FROM dense GROUP BY solar_day) SELECT pr
 def ring_candidates(spark, sf_dir):
     """Ring profiles of the frames with some cloud but not too much: only these are searched for rings."""
     some = frame_stats(spark, sf_dir).filter(F.col("cloud_frac").between(0.03, 0.7) & (F.col("valid_frac") > 0.5)).select("solar_day")
-    p = fr.ring_profiles(views.dense(spark, sf_dir).join(some, "solar_day", "left_semi"), _SHOWN, 4, 20, 5)
+    # one row a frame at most: broadcast, or else pixels would be dealt out by their few days before these are known
+    p = fr.ring_profiles(views.dense(spark, sf_dir).join(F.broadcast(some), "solar_day", "left_semi"), _SHOWN, 4, 20, 5)
     return p.select("solar_day", "distance_px", "n_pixels", *[F.round(b, 6).alias(b) for b in _SHOWN])
 
 

@@ -53,3 +53,14 @@ def test_pixels_are_not_sent_to_the_driver(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "row#" in line]
+
+
+def test_candidate_frames_are_broadcast(spark):
+    """Else all pixels were dealt out by their few days before it was known that the frames to keep are few."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["ring_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
